@@ -33,6 +33,8 @@ from .base import spread
 SIGMA = 1.0
 #: A region is body too if it has so large a part of the best region's weight.
 REGION_PART = 0.35
+#: Regions with paragraphs or headings come before those without, unless these weigh so many times more.
+PROSE_FACTOR = 5.0
 #: Weight of one tag against one character of text in the ratio.
 TAG_CHARS = 1.0
 
@@ -41,11 +43,12 @@ _VOID = frozenset(("br", "hr", "img", "input", "meta", "link", "area", "base", "
 _REGION = frozenset(("body", "div", "td", "section", "article", "main", "aside", "nav", "header", "footer", "form", "dialog"))
 _LINE = _REGION | frozenset(("p", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "address", "pre", "blockquote", "dl", "dt", "dd", "br", "hr", "figure", "figcaption"))
 _PROSE = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "address", "blockquote", "pre"))
+_QUOTES = frozenset(("pre", "code", "samp", "kbd", "q", "textarea", "blockquote"))
 _AROUND = frozenset(("nav", "aside", "footer", "form", "dialog"))
 
 
 class _Lines(HTMLParser):
-    """Lines of one page: [region, parts, tags, link characters, prose element]."""
+    """Lines of one page: [region, parts, tags, link characters, prose element, parts within quoting elements]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -54,6 +57,7 @@ class _Lines(HTMLParser):
         self.stack: list[tuple[str, int | None]] = []
         self.skip = self.link = 0
         self.prose: list[str] = []
+        self.quotes = 0
         self.region = 0
         self.open: list | None = None
 
@@ -84,6 +88,8 @@ class _Lines(HTMLParser):
             self.link += 1
         if tag in _PROSE:
             self.prose.append(tag)
+        if tag in _QUOTES:
+            self.quotes += 1
         self.stack.append((tag, own))
 
     def _close(self, tag: str, implied: bool = False) -> None:
@@ -99,6 +105,8 @@ class _Lines(HTMLParser):
                         self.prose.pop()
                     elif name in _SKIP:
                         self.skip = max(0, self.skip - 1)
+                    if name in _QUOTES:
+                        self.quotes = max(0, self.quotes - 1)
                 del self.stack[k:]
                 return
             if name in _SKIP or (own is not None and (implied or tag not in _REGION)):
@@ -122,11 +130,13 @@ class _Lines(HTMLParser):
             if not text:
                 continue
             if self.open is None or self.open[0] != self.region or (k and text):
-                self.open = [self.region, [], 1, 0, self.prose[-1] if self.prose else ""]
+                self.open = [self.region, [], 1, 0, self.prose[-1] if self.prose else "", []]
                 self.lines.append(self.open)
             self.open[1].append(text)
             if self.link:
                 self.open[3] += len(text)
+            if self.quotes:
+                self.open[5].append(text)
 
 
 def page_lines(html: str | None) -> tuple[list[list], list[tuple[str, int]]]:
@@ -168,13 +178,13 @@ def body_flags(lines: list[list], regions: list[tuple[str, int]]) -> list[bool]:
     """Whether each line belongs to the body."""
     if not lines:
         return []
-    plain = np.array([max(0, sum(map(len, parts)) - link) for _, parts, _, link, _ in lines], dtype=float)
-    tags = np.array([n for _, _, n, _, _ in lines], dtype=float)
+    plain = np.array([max(0, sum(map(len, parts)) - link) for _, parts, _, link, *_ in lines], dtype=float)
+    tags = np.array([n for _, _, n, *_ in lines], dtype=float)
     ratio = np.log1p(plain / (TAG_CHARS * tags))
     smooth = _smooth(ratio)
     dense = smooth >= _threshold(smooth)
     weight: dict[int, float] = {}
-    for k, (region, parts, _, link, prose) in enumerate(lines):
+    for k, (region, _, _, _, prose, _) in enumerate(lines):
         chars = plain[k]
         if prose:
             chars = 2 * chars + 60
@@ -188,6 +198,10 @@ def body_flags(lines: list[list], regions: list[tuple[str, int]]) -> list[bool]:
                 weight[region] *= 0.15
                 break
             at = regions[at][1]
+    spoken = {line[0] for line in lines if line[4]}
+    prose = {r: w for r, w in weight.items() if r in spoken and w > 0}
+    if prose and PROSE_FACTOR * max(prose.values()) >= max(weight.values()):
+        weight = prose
     best = max(weight.values())
     chosen = {r for r, w in weight.items() if best > 0 and w >= REGION_PART * best}
     return [line[0] in chosen for line in lines]
