@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from .base import cut, spread
 
 LEAST, ONE_IN = 15, 8
+LEAST_BESIDE = 20
 #: Words in a window and words between the starts of two windows.
 WINDOW, STEP = 20, 5
 RANK, OVERSAMPLE, SEED = 160, 16, 7
@@ -196,7 +197,9 @@ def leaks(doc: np.ndarray, item: np.ndarray) -> bool:
     """Whether ``doc`` has a run of at least ``LEAST`` words of ``item`` with one in eight changed at most.
 
     Runs of at least two equal words are chained; the words between two runs count
-    as changed. A chain begins and ends with equal words.
+    as changed. A chain begins and ends with equal words. Changed words side by side,
+    as where two names follow each other in texts that are only alike, need a chain
+    of ``LEAST_BESIDE`` words.
     """
     places = defaultdict(list)
     for j, w in enumerate(item.tolist()):
@@ -216,7 +219,7 @@ def leaks(doc: np.ndarray, item: np.ndarray) -> bool:
     for k, (j, i, n) in enumerate(runs):
         if n >= LEAST:
             return True
-        end_j, end_i, edits = j + n, i + n, 0
+        end_j, end_i, edits, widest = j + n, i + n, 0, 0
         rest = runs[k + 1 :]
         while rest:
             gaps = []
@@ -228,10 +231,11 @@ def leaks(doc: np.ndarray, item: np.ndarray) -> bool:
                 break
             gap, a, b, m = min(gaps)
             edits += max(1, gap)
+            widest = max(widest, gap)
             if edits * ONE_IN > 2 * len(item):
                 break
             end_j, end_i = a + m, b + m
-            if end_j - j >= LEAST and edits * ONE_IN <= end_j - j:
+            if end_j - j >= (LEAST if widest <= 1 else LEAST_BESIDE) and edits * ONE_IN <= end_j - j:
                 return True
             rest = [r for r in rest if r[0] + r[2] > end_j and r[1] + r[2] > end_i]
     return False
