@@ -22,6 +22,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -314,9 +315,21 @@ def _legacy_pass(text: str) -> str:
     return new
 
 
+#: Characters beyond ASCII that are written as numbers, as pages do.
+_NUMBERED = re.compile(r"&#(?:(1[3-9]\d|12[89]|[2-9]\d{2}|\d{4,6})|[xX](0*[8-9a-fA-F][0-9a-fA-F]|0*[1-9a-fA-F][0-9a-fA-F]{2,5}));")
+NUMBERED = "&#(?:[0-9]{3,6}|[xX][0-9a-fA-F]{2,6});"
+
+
 def repair(text: str | None) -> tuple[bool, str | None, bool]:
-    """(is a case, restored text or None, whether nothing garbled is left)."""
-    if not text or text.isascii() or not _SCREEN.search(text):
+    """(is a case, restored text or None, whether nothing garbled is left).
+
+    Characters written as numeric references are looked at as the characters they stand for.
+    """
+    if not text:
+        return False, None, True
+    if "&#" in text:
+        text = _NUMBERED.sub(lambda m: unescape(m[0]), text)
+    if text.isascii() or not _SCREEN.search(text):
         return False, None, True
     now = text
     for _ in range(LAYERS):
@@ -347,7 +360,7 @@ def _repair_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repair_table(df: DataFrame, name: str, row_id: str, text: str) -> DataFrame:
     """The rows of ``df`` whose ``text`` was wrongly decoded, with what could be restored."""
-    rows = spread(df.select(F.lit(name).alias("table_name"), F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text"))).filter(F.col("text").rlike(JAVA_SCREEN))
+    rows = spread(df.select(F.lit(name).alias("table_name"), F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text"))).filter(F.col("text").rlike(f"{NUMBERED}|{JAVA_SCREEN}"))
     return rows.mapInPandas(_repair_batches, SCHEMA)
 
 
