@@ -130,7 +130,7 @@ def audit_rule_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def citation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.citations(_archive(spark, sf_dir).select(*_cases(spark).columns).unionByName(_cases(spark))).select("site", F.col("idx").cast(long), "target")
+    return crawl.citations(_archive(spark, sf_dir).select(*_cases(spark).columns).unionByName(_cases(spark).withColumn("page_id", F.col("page_id") + 10**12))).select("site", F.col("idx").cast(long), "target")
 
 
 def sitemap_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
