@@ -47,6 +47,11 @@ _QUOTES = frozenset(("pre", "code", "samp", "kbd", "q", "textarea", "blockquote"
 _AROUND = frozenset(("nav", "aside", "footer", "form", "dialog"))
 
 
+#: A start tag whose quotes are closed, and elements whose content the library reads in a way of its own.
+_START = re.compile(r"<([a-zA-Z][a-zA-Z0-9]*)(?:\s(?:[^>\"']|\"[^\"<>]*\"|'[^'<>]*')*)?>")
+_RAW = frozenset(("script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes", "plaintext"))
+
+
 class _Lines(HTMLParser):
     """Lines of one page: [region, parts, tags, link characters, prose element, parts within quoting elements]."""
 
@@ -61,6 +66,21 @@ class _Lines(HTMLParser):
         self.region = 0
         self.open: list | None = None
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j
+
+    def parse_starttag(self, i: int) -> int:
+        """A well-formed start tag at once, without its attributes; anything else as the library does."""
+        m = _START.match(self.rawdata, i)
+        if m is None or m[1].lower() in _RAW:
+            return super().parse_starttag(i)
+        tag = m[1].lower()
+        if m[0][-2] == "/":
+            self.handle_startendtag(tag, [])
+        else:
+            self.handle_starttag(tag, [])
+        return m.end()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _SKIP:
             self.skip += 1
