@@ -42,8 +42,8 @@ LEAST_BESIDE = 20
 WINDOW, STEP = 20, 5
 RANK, OVERSAMPLE, SEED = 160, 16, 7
 COSINE = 0.55
-#: Tasks of the SVD, each of which sends one partial sum.
-PARTIALS = 12
+#: Tasks of the SVD, each of which sends one partial sum; as many at every size of the corpus.
+PARTIALS = 6
 
 _ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\[nrtfbv\"'`/\\]")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>|<!--.{0,300}?-->", re.S)
@@ -176,7 +176,7 @@ def _product(found: DataFrame, idf: np.ndarray, own: np.ndarray, basis: np.ndarr
         yield pd.DataFrame({"part": [total.astype(np.float32).tobytes()]})
 
     total = own.T @ (own @ basis)
-    for row in found.coalesce(PARTIALS).mapInPandas(run, "part binary").collect():
+    for row in found.repartition(PARTIALS).mapInPandas(run, "part binary").collect():
         total = total + np.frombuffer(row.part, dtype=np.float32).reshape(basis.shape)
     return total
 
