@@ -128,17 +128,14 @@ def _cut_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def split_oversized(items: DataFrame, limits: DataFrame, kind: str, item_id: str | Column, text: str | Column) -> DataFrame:
     """Pieces of every text of ``items`` that is longer than the limit of ``kind``.
 
-    ``limits`` is the fixed table of limits by kind (a few rows, so it is
-    broadcast). Texts within the limit never reach Python.
+    ``limits`` is the small table of limits by kind, of which one row is read.
+    Texts within the limit never reach Python.
     """
-    own = limits.filter(F.col("item_kind") == kind).groupBy("item_kind").agg(F.min("max_chars").alias("max_chars"), F.min("overlap_chars").alias("overlap_chars"))
-    named = items.select(F.lit(kind).alias("item_kind"), F.col(item_id).alias("item_id") if isinstance(item_id, str) else item_id.alias("item_id"), F.col(text).alias("text") if isinstance(text, str) else text.alias("text"))
-    over = (
-        spread(named)
-        .join(F.broadcast(own), "item_kind")
-        .filter((F.col("max_chars") > 0) & (F.char_length("text") > F.col("max_chars")))
-        .select("item_kind", "item_id", "text", "max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap_chars"))
-    )
+    own = limits.filter(F.col("item_kind") == kind).agg(F.min("max_chars"), F.min("overlap_chars")).first()
+    text_of = F.col(text) if isinstance(text, str) else text
+    rows = items.select(F.lit(kind).alias("item_kind"), (F.col(item_id) if isinstance(item_id, str) else item_id).alias("item_id"), text_of.alias("text"))
+    over = spread(rows).filter(F.char_length("text") > own[0] if own[0] and own[0] > 0 else F.lit(False))
+    over = over.select("item_kind", "item_id", "text", F.lit(own[0] or 0).alias("max_chars"), F.lit(own[1] or 0).alias("overlap_chars"))
     return over.mapInPandas(_cut_batches, SCHEMA)
 
 
