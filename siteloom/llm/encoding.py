@@ -45,9 +45,11 @@ WRITTEN_IN = {
     "cp437": ("cp1252", "latin-1"),
     "cp850": ("cp1252", "latin-1"),
 }
+#: Those of them whose characters take several bytes; they never show as letters of small alphabets.
+_WIDE = frozenset(("gb18030", "big5", "cp949", "shift_jis"))
 LAYERS = 4
 #: The least drop of the cost, absolute and as a part, that a round trip of legacy encodings must bring.
-LEAST_DROP, LEAST_PART = 0.75, 0.45
+LEAST_DROP, LEAST_PART = 0.75, 0.4
 LOST = "�"
 
 
@@ -143,6 +145,7 @@ def _class(char: str) -> tuple[str, str, float]:
 def cost(text: str) -> float:
     """How garbled ``text`` looks; ASCII costs nothing by itself."""
     total, run, before, kind_before, script_before, sign_after_letter = 0.0, 0, "", "", "", False
+    small_start = False
     for char in text:
         kind, script, base = _class(char)
         total += base
@@ -158,8 +161,12 @@ def cost(text: str) -> float:
                     total += 0.5
                 if before.islower() and char.isupper():
                     total += 1.2
+                elif small_start and char.isupper():
+                    total += 0.6
             elif kind_before == "y":
                 total += 0.5
+            if kind_before not in ("l", "L"):
+                small_start = char.islower()
         else:
             run = 0
             if kind == "L" and kind_before == "l":
@@ -169,6 +176,8 @@ def cost(text: str) -> float:
                     total += 0.5
                 elif before.islower() and char.isupper():
                     total += 1.2
+            if char == "\xa0" and before in ("Ã", "Â"):
+                total += 0.4
             if base and kind != "x" and char in _ODD_AFTER_LETTER and kind_before in ("l", "L", "y"):
                 total += 0.9
         if sign_after_letter and kind in ("l", "L") and script not in ("han", "kana"):
@@ -180,6 +189,8 @@ def cost(text: str) -> float:
     return total
 
 
+#: What Japanese without kana costs more: Han characters alone are short, so they look cheap.
+_NO_KANA, _KANA = 1.0, re.compile("[\u3040-\u30ff]")
 _UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _NODE = re.compile(r"[^<>\n]+")
@@ -195,13 +206,13 @@ def _repair_run(run: str, left: str, right: str) -> str | None:
         raw = _bytes(run, encoding)
         if raw is None:
             continue
-        if encoding in ("gb18030", "big5", "cp949", "shift_jis") and len(raw) < 2:
+        if encoding in _WIDE and any(ord(c) < 0x2000 for c in run):
             continue
         covered = sum(m.end() - m.start() for m in _UTF8.finditer(raw))
         if not covered:
             continue
-        if covered == len(raw):
-            new = raw.decode("utf-8", "strict") if _strict(raw) else None
+        if _strict(raw):
+            new = raw.decode("utf-8")
         elif covered >= 0.5 * len(raw) and _TABLES.get(encoding):
             new = _partly(run, raw)
         else:
@@ -209,11 +220,19 @@ def _repair_run(run: str, left: str, right: str) -> str | None:
         if new is None:
             continue
         now = cost(left + new + right)
-        if now < limit:
+        if now < limit and _plausible(new):
             best, limit = new, now - 1e-9
     return best
 
 
+_STRANGE = re.compile("[\u0530-\u1dff\u2c00-\u2e7f\ua000-\uabff\ud7b0-\uf8ff\ufb00-\ufe2f\ufe50-\ufeff]")
+
+
+def _plausible(text: str) -> bool:
+    """Whether a repair ends in scripts that are written here; layers still garbled show none of the others."""
+    return not _STRANGE.search(text) and all(c < "\x80" or (k := _class(c))[0] != "m" and k[1] != "other" for c in text)
+
+
 def _strict(raw: bytes) -> bool:
     try:
         raw.decode("utf-8")
@@ -226,7 +245,7 @@ def _partly(run: str, raw: bytes) -> str | None:
     """Decode the parts that are UTF-8 and keep the rest; one byte is one character."""
     out, at = [], 0
     for m in _UTF8.finditer(raw):
-        if not _strict(m[0]):
+        if not _strict(m[0]) or any(ord(c) >= 0x2E80 for c in m[0].decode("utf-8")):
             return None
         out += [run[at : m.start()], m[0].decode("utf-8")]
         at = m.end()
@@ -258,15 +277,14 @@ def _legacy(stretch: str) -> tuple[str, tuple[str, str]] | None:
                 new = raw.decode(written)
             except UnicodeDecodeError:
                 continue
-            now = cost(new)
+            now = cost(new) + (_NO_KANA if written in ("cp932", "euc_jp") and not _KANA.search(new) else 0.0)
             if now < limit:
                 best, limit = (new, (name, written)), now
     return best
 
 
 #: What no sound text shows: odd characters, letters of two scripts in a word, signs and
-#: capitals after letters they do not follow. Texts without it are left alone. The pattern
-#: reads the same in Java and Python.
+#: capitals after letters they do not follow. Texts without it are left alone.
 SCREEN = (
     "[^\u0000-\u007FäöüßÄÖÜéèêëàâîïôùûçœæÉÈÊÀÂÎÔÙÛÇŒáíóúñÁÍÓÚÑãõÃÕА-яЁё’‘“”„«»‹›…–—·•©®™€£§№¿¡ºª→←↑↓×✓★\u00A0"
     "\u3000-\u30FF\u3400-\u9FFF\uFF00-\uFF60\uFFE5\uD800-\uDFFF\U00010000-\U0010FFFF]"
@@ -275,8 +293,6 @@ SCREEN = (
     "|[îìí][ .,;<]|[ >][ìÈÉ][a-z]|[\u3400-\u9FFF][a-z]|[a-z][\u3400-\u9FFF](?![\u3000-\u9FFF])|[㐀-鿿][À-ÿ�]"
 )
 _SCREEN = re.compile(SCREEN)
-#: In Java's regular expressions a surrogate pair is one character.
-JAVA_SCREEN = SCREEN.replace("\ud800-\udfff", "")
 
 
 def _legacy_pass(text: str) -> str:
@@ -317,7 +333,6 @@ def _legacy_pass(text: str) -> str:
 
 #: Characters beyond ASCII that are written as numbers, as pages do.
 _NUMBERED = re.compile(r"&#(?:(1[3-9]\d|12[89]|[2-9]\d{2}|\d{4,6})|[xX](0*[8-9a-fA-F][0-9a-fA-F]|0*[1-9a-fA-F][0-9a-fA-F]{2,5}));")
-NUMBERED = "&#(?:[0-9]{3,6}|[xX][0-9a-fA-F]{2,6});"
 
 
 def repair(text: str | None) -> tuple[bool, str | None, bool]:
@@ -360,7 +375,7 @@ def _repair_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repair_table(df: DataFrame, name: str, row_id: str, text: str) -> DataFrame:
     """The rows of ``df`` whose ``text`` was wrongly decoded, with what could be restored."""
-    rows = spread(df.select(F.lit(name).alias("table_name"), F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text"))).filter(F.col("text").rlike(f"{NUMBERED}|{JAVA_SCREEN}"))
+    rows = spread(df.select(F.lit(name).alias("table_name"), F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text"))).filter(F.col("text").rlike(r"[^\x00-\x7F]|&#"))
     return rows.mapInPandas(_repair_batches, SCHEMA)
 
 
