@@ -66,7 +66,7 @@ def test_fields_that_nobody_names(spark):
 
 
 def test_page_values(pages, spark):
-    html = '<title>Acme - Home</title><body><header>Call (212) 555-0100</header><p>205 East Houston Street, New York, NY 10002</p><a href="tel:+12125550100">ring</a><meta property="og:site_name" content="Acme"></body>'
+    html = '<title>Acme - Home</title><body><header>Call (212) 555-0100 now!</header><p>At: 205 East Houston Street, New York, NY 10002</p><a href="tel:+12125550100">ring</a><meta property="og:site_name" content="Acme"></body>'
     values = nap.cleaned(nap.page_values(pages({"html": html, "url": "https://a.com/"}, {"html": "<p>We are Acme &amp; co, acme", "url": "https://a.com/x"})))
     got = {(r.field, r.value) for r in values.collect()}
     assert {("phone", "(212) 555-0100"), ("phone", "+12125550100"), ("street_address", "205 East Houston Street"), ("city", "New York"), ("region", "NY"), ("postal_code", "10002"), ("business_name", "Acme"), ("full_address", "205 East Houston Street, New York, NY 10002")} <= got
