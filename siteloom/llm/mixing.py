@@ -8,7 +8,9 @@ the sources' quotas; each further repetition of a pattern costs more than the on
 before, so small sources are repeated only as far as they must be, and at most
 ``max_repeats`` times. The flow is then turned into documents in a seeded order: a
 pattern's documents lie one after the other on a line, once per repetition, and a
-source takes the documents whose middle lies in the stretch that the flow gave it.
+source takes the documents in the stretch that the flow gave it. Where the last
+stretch ends inside a document, that one is passed over and the rest is filled with
+the next documents of the order that still fit.
 
 Defined results: null and empty texts count for nothing; documents without a
 source or of a source outside the mix fill no quota but count for the size of the
@@ -38,6 +40,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\
 SEED = 11
 #: Documents in one slice of the seeded order, about.
 SLICE = 20_000
+#: Documents after the end of a stretch that are looked at to fill its rest.
+FILLERS = 400
 #: A run of one character longer than this is counted in parts of this size.
 PART_CHARS = 200_000
 
@@ -189,20 +193,46 @@ def _mixed(documents: DataFrame, targets: DataFrame, path: str, seed: int) -> tu
     by_pattern = units.groupBy("pattern").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).collect()
     supply = {r.pattern: r.n for r in by_pattern if r.n}
     flows = _stretches(rows, supply, pool)
-    schema = "mix_name string, pattern string, source string, low long, high long, length long"
-    stretches = F.broadcast(spark.createDataFrame(flows, schema))
+    last = {(m, p): max(high for m2, p2, _, _, high, _ in flows if (m2, p2) == (m, p)) for m, p, *_ in flows}
+    rows_ = [(*f, f[4] == last[f[0], f[1]] and f[4] % f[5] > 0) for f in flows]
+    schema = "mix_name string, pattern string, source string, low long, high long, length long, ends boolean"
+    stretches = F.broadcast(spark.createDataFrame(rows_, schema))
     middle = F.col("begin") + F.floor(F.col("n_tokens") / 2)
-    turns = lambda edge: F.ceil((F.col(edge) - middle) / F.col("length"))
-    lined = _lined_up(units, sum(r.docs for r in by_pattern), seed)
-    chosen = (
-        lined.join(stretches, "pattern")
-        .withColumn("uses", F.greatest(turns("high"), F.lit(0)) - F.greatest(turns("low"), F.lit(0)))
-        .filter(F.col("uses") > 0)
-        .select("mix_name", "source", "doc_id", "n_tokens", F.col("uses").cast("long").alias("uses"))
-    )
+    turns = lambda edge: F.greatest(F.ceil((F.col(edge) - middle) / F.col("length")), F.lit(0))
+    whole = F.greatest(F.floor((F.col("high") - F.col("begin") - F.col("n_tokens")) / F.col("length")) + 1, F.lit(0))
+    lined = cut(_lined_up(units, sum(r.docs for r in by_pattern), seed))
+    placed = lined.join(stretches, "pattern").withColumn("uses", F.when(F.col("ends"), whole).otherwise(turns("high")) - turns("low"))
+    chosen = placed.filter(F.col("uses") > 0).select("mix_name", "pattern", "source", "doc_id", "n_tokens", F.col("uses").cast("long").alias("uses"))
+    extra = _fill(placed, chosen, {(m, p, s): high - low for m, p, s, low, high, _, ends in rows_ if ends})
+    if extra:
+        chosen = chosen.unionByName(spark.createDataFrame(extra, chosen.schema))
+    chosen = chosen.groupBy("mix_name", "source", "doc_id").agg(F.max("n_tokens").alias("n_tokens"), F.sum("uses").alias("uses"))
     return chosen, wanted, pool
 
 
+def _fill(placed: DataFrame, chosen: DataFrame, wished: dict[tuple[str, str, str], int]) -> list[tuple]:
+    """Documents that fill what the last stretches lack, a bounded number for each of these few stretches."""
+    if not wished:
+        return []
+    names = ["mix_name", "pattern", "source"]
+    have = {(r.mix_name, r.pattern, r.source): r.n for r in chosen.groupBy(*names).agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("n")).collect()}
+    lack = {k: n - have.get(k, 0) for k, n in wished.items()}
+    lacking = [(*k, n) for k, n in lack.items() if n > 0]
+    if not lacking:
+        return []
+    beyond = F.col("begin") + F.col("n_tokens") > F.col("high") % F.col("length")
+    left = placed.filter("ends").filter(beyond).join(F.broadcast(placed.sparkSession.createDataFrame(lacking, "mix_name string, pattern string, source string, lack long")), names).filter(F.col("n_tokens") <= F.col("lack"))
+    order = W.partitionBy(*names).orderBy("begin", "doc_id")
+    near = left.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= FILLERS).orderBy(*names, "n").collect()
+    out = []
+    for r in near:
+        key = (r.mix_name, r.pattern, r.source)
+        if r.n_tokens <= lack[key]:
+            lack[key] -= r.n_tokens
+            out.append((*key, r.doc_id, r.n_tokens, 1))
+    return out
+
+
 def mix_selection(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, seed: int = SEED) -> DataFrame:
     """(mix_name, source, doc_id, n_tokens, uses): the documents of every mix."""
     return _mixed(documents, targets, path, seed)[0]
