@@ -393,8 +393,14 @@ def _windows(words: list[str]) -> Iterator[list[str]]:
         yield words[at : at + WINDOW]
 
 
+_NOSCRIPT, _TAGS = re.compile(r"(?is)<noscript[^>]*>(.*?)</noscript"), re.compile(r"<[^>]*>")
+
+
 def passages(html: str) -> list[tuple[str, str]]:
-    """(place, text): the title and the lines of the body, quoted samples blanked."""
+    """(place, text): the title and the lines of the body, quoted samples blanked.
+
+    Where the main place is empty, visitors see what stands for missing scripts, and that is the body.
+    """
     lines, regions = page_lines(html)
     out = []
     for line, body in zip(lines, body_flags(lines, regions)):
@@ -403,6 +409,8 @@ def passages(html: str) -> list[tuple[str, str]]:
             for quoted in line[5]:
                 text = text.replace(quoted, " ")
             out.append(("quoted" if line[5] and not text.strip() else "body", " ".join(line[1]) if not text.strip() else text))
+    if not out:
+        out = [("body", text) for text in (" ".join(_TAGS.sub(" ", x).split()) for x in _NOSCRIPT.findall(html)) if text]
     joined = "\n".join(text for _, text in out)
     if not joined.isascii():
         fixed = repair(joined)[1]
