@@ -53,6 +53,8 @@ CASES = [
     ("<h1>Oops! Nothing here</h1><p>Sorry, that link is broken.</p>", "message"),
     ("<p>Fatal error: Uncaught Error: Call to undefined function get_header() in /srv/www/index.php:7</p>", "message"),
     ("<p>ページが見つかりません</p>", "message"),
+    ("<noscript>You need to enable JavaScript to run this app.</noscript><div></div>", "message"),
+    (f"<noscript>You need to enable JavaScript to run this app.</noscript><div><p>{PROSE}</p></div>", None),
     (f"<p>{PROSE}</p><p>Please enable JavaScript to continue using this application.</p>", None),
     ("<p>Printers have set the words lorem ipsum for ages; our course explains why the filler looks like Latin.</p>", None),
     (f"<p>{PROSE}</p><pre>Hello {{{{ guest }}}}, your table is ready.</pre>", None),
