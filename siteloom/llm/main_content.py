@@ -38,7 +38,7 @@ PROSE_FACTOR = 5.0
 #: Weight of one tag against one character of text in the ratio.
 TAG_CHARS = 1.0
 
-_SKIP = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "canvas", "head", "select", "button"))
+_SKIP = frozenset(("script", "style", "title", "noscript", "template", "svg", "iframe", "canvas", "head", "select", "button"))
 _VOID = frozenset(("br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"))
 _REGION = frozenset(("body", "div", "td", "section", "article", "main", "aside", "nav", "header", "footer", "form", "dialog"))
 _LINE = _REGION | frozenset(("p", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "address", "pre", "blockquote", "dl", "dt", "dd", "br", "hr", "figure", "figcaption"))
