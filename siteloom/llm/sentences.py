@@ -12,8 +12,8 @@ paragraph ends at a blank line, a list, a heading or the end of its cell, and li
 breaks within it are blanks. What stands in paired quotation marks is never cut.
 
 Defined results: null texts, null cell lists, null or empty cells and cells out of
-the text's range give no units; blank units are none; repeated notebooks are each
-reported.
+the text's range give no units; blank units are none; a place is one unit's end
+once in each row; repeated notebooks are each reported.
 """
 
 from __future__ import annotations
@@ -314,10 +314,9 @@ def _unit_batches(weights: Weights):
         for pdf in batches:
             ids, ends = [], []
             for doc_id, cells in pdf.itertuples(index=False):
-                for cell in cells:
-                    for end in units(cell["cell"], weights):
-                        ids.append(doc_id)
-                        ends.append(cell["start"] + end)
+                own = sorted({cell["start"] + end for cell in cells for end in units(cell["cell"], weights)})
+                ids += [doc_id] * len(own)
+                ends += own
             yield pd.DataFrame({"doc_id": ids, "end_char": ends})
 
     return run
@@ -333,4 +332,4 @@ def markdown_cells(documents: DataFrame) -> DataFrame:
 def sentence_units(documents: DataFrame) -> DataFrame:
     """(doc_id, end_char) of every sentence unit of the markdown cells."""
     cells = markdown_cells(spread(documents.select("doc_id", "text", "cells")))
-    return cells.mapInPandas(_unit_batches(train()), "doc_id long, end_char long").distinct()
+    return cells.mapInPandas(_unit_batches(train()), "doc_id long, end_char long")
