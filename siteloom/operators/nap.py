@@ -85,7 +85,7 @@ def page_values(archive: DataFrame) -> DataFrame:
     composed = F.when(whole, F.concat("v", _pairs(F.array(line), "full_address", "composed"))).otherwise(F.col("v"))
     order = F.struct(F.coalesce("from_citation", F.lit(False)), F.coalesce("crawl_idx", F.lit(2**31 - 1)), "page_id")
     return (
-        f.join(pages.select("page_id", "site", "page", order.alias("page_idx"), F.lower("html").alias("raw")), "page_id")
+        f.join(pages.select("page_id", "site", "page", order.alias("page_idx")), "page_id")
         .select("site", "page_idx", "page_id", "page", found.alias("v"))
         .select("site", "page_idx", "page_id", "page", F.posexplode(composed).alias("value_idx", "x"))
         .select("site", "page_idx", "page_id", "page", "x.field", "value_idx", squeezed(F.col("x.value")).alias("value"), "x.source")

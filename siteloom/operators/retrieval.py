@@ -71,8 +71,9 @@ def bm25(texts: DataFrame, questions: DataFrame, k: int = LEXICAL_K, group: str
     """(group, qid, key, score, coverage, rank): the best texts for each question of their group.
 
     Only terms that some question of the group has are joined; statistics are
-    taken over all texts of the group. Texts without a matching term score 0 and
-    may rank where too few match. Ties: more coverage, longer text, lower key. A
+    taken over all texts of the group. Texts without a matching term score their
+    boosts alone, so only the longest of each kind (with a time or not, with a
+    number or not) can rank; texts and questions are never paired as a whole. Ties: more coverage, longer text, lower key. A
     question of opening hours keeps only texts with a time of day. Null texts are
     empty texts.
     """
@@ -99,7 +100,11 @@ def bm25(texts: DataFrame, questions: DataFrame, k: int = LEXICAL_K, group: str
         .groupBy(group, "qid", key)
         .agg(F.sum(F.col("part") * F.col("times")).alias("bm25"), F.sum("times").alias("hits"))
     )
-    scored = sized.join(asked.drop("terms"), group).join(scores, [group, "qid", key], "left").filter(~F.col("hour") | F.col("timed"))
+    traits = asked.drop("terms")
+    longest = W.partitionBy(group, "timed", "placed").orderBy(F.desc("chars"), key)
+    unmatched = sized.withColumn("n", F.row_number().over(longest)).filter(F.col("n") <= k).select(group, key).join(traits.select(group, "qid"), group)
+    candidates = scores.select(group, "qid", key).unionByName(unmatched.select(group, "qid", key)).distinct()
+    scored = candidates.join(traits, [group, "qid"]).join(sized, [group, key]).join(scores, [group, "qid", key], "left").filter(~F.col("hour") | F.col("timed"))
     boost = F.when(F.col("hour") & F.col("timed"), F.lit(HOUR_BOOST)).otherwise(F.lit(0.0)) + F.when(F.col("place") & F.col("placed"), F.lit(PLACE_BOOST)).otherwise(F.lit(0.0))
     total = F.round(F.coalesce("bm25", F.lit(0.0)) + boost, 9)
     coverage = F.coalesce("hits", F.lit(0)) / F.col("n_terms").cast("double")
