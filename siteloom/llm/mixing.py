@@ -16,7 +16,7 @@ Defined results: null and empty texts count for nothing; documents without a
 source or of a source outside the mix fill no quota but count for the size of the
 pool; a quota that cannot be filled stays short and the reached share says so; a
 source without documents or with a share of 0 reaches 0; copies are used under the
-least doc_id; an empty table gives shares of 0.
+least doc_id that they have in the source they are used for; an empty table gives shares of 0.
 """
 
 from __future__ import annotations
@@ -174,7 +174,7 @@ def _lined_up(units: DataFrame, n_docs: int, seed: int) -> DataFrame:
     totals = rows.groupBy("pattern", "slice").agg(F.sum("n_tokens").alias("total"))
     base = totals.select("pattern", "slice", (F.sum("total").over(W.partitionBy("pattern").orderBy("slice")) - F.col("total")).alias("base"))
     within = F.sum("n_tokens").over(W.partitionBy("pattern", "slice").orderBy(F.col("place"), F.col("doc_id")).rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens")
-    return rows.withColumn("within", within).join(base, ["pattern", "slice"]).select("doc_id", "pattern", "n_tokens", (F.col("base") + F.col("within")).alias("begin"))
+    return rows.withColumn("within", within).join(base, ["pattern", "slice"]).select("doc_id", "pattern", "n_tokens", "members", (F.col("base") + F.col("within")).alias("begin"))
 
 
 def _mixed(documents: DataFrame, targets: DataFrame, path: str, seed: int) -> tuple[DataFrame, DataFrame, int]:
@@ -185,10 +185,13 @@ def _mixed(documents: DataFrame, targets: DataFrame, path: str, seed: int) -> tu
     named = sorted({r.source for r in rows if r.source})
     sized = cut(sized_documents(documents, path))
     pool = sized.agg(F.sum("n_tokens")).first()[0] or 0
+    own = sized.groupBy("text_key", F.when(F.col("source").isin(named), F.col("source")).alias("source")).agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"))
     units = cut(
-        sized.groupBy("text_key")
-        .agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.concat_ws("|", F.array_sort(F.collect_set(F.when(F.col("source").isin(named), F.col("source"))))).alias("pattern"))
-        .filter(F.col("pattern") != "")
+        own.filter(F.col("source").isNotNull())
+        .groupBy("text_key")
+        .agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("source", F.col("doc_id").alias("as_doc")))).alias("members"))
+        .withColumn("pattern", F.array_join(F.transform("members", lambda m: m["source"]), "|"))
+        .withColumn("members", F.map_from_entries("members"))
     )
     by_pattern = units.groupBy("pattern").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).collect()
     supply = {r.pattern: r.n for r in by_pattern if r.n}
@@ -201,8 +204,8 @@ def _mixed(documents: DataFrame, targets: DataFrame, path: str, seed: int) -> tu
     turns = lambda edge: F.greatest(F.ceil((F.col(edge) - middle) / F.col("length")), F.lit(0))
     whole = F.greatest(F.floor((F.col("high") - F.col("begin") - F.col("n_tokens")) / F.col("length")) + 1, F.lit(0))
     lined = cut(_lined_up(units, sum(r.docs for r in by_pattern), seed))
-    placed = lined.join(stretches, "pattern").withColumn("uses", F.when(F.col("ends"), whole).otherwise(turns("high")) - turns("low"))
-    chosen = placed.filter(F.col("uses") > 0).select("mix_name", "pattern", "source", "doc_id", "n_tokens", F.col("uses").cast("long").alias("uses"))
+    placed = lined.join(stretches, "pattern").withColumn("as_doc", F.try_element_at("members", F.col("source"))).drop("members").withColumn("uses", F.when(F.col("ends"), whole).otherwise(turns("high")) - turns("low"))
+    chosen = placed.filter(F.col("uses") > 0).select("mix_name", "pattern", "source", F.col("as_doc").alias("doc_id"), "n_tokens", F.col("uses").cast("long").alias("uses"))
     extra = _fill(placed, chosen, {(m, p, s): high - low for m, p, s, low, high, _, ends in rows_ if ends})
     if extra:
         chosen = chosen.unionByName(spark.createDataFrame(extra, chosen.schema))
@@ -229,7 +232,7 @@ def _fill(placed: DataFrame, chosen: DataFrame, wished: dict[tuple[str, str, str
         key = (r.mix_name, r.pattern, r.source)
         if r.n_tokens <= lack[key]:
             lack[key] -= r.n_tokens
-            out.append((*key, r.doc_id, r.n_tokens, 1))
+            out.append((*key, r.as_doc, r.n_tokens, 1))
     return out
 
 
