@@ -22,11 +22,13 @@ from ..functions.lexicon import (
     HOUR_BOOST,
     HOUR_TERMS,
     LEXICAL_K,
+    LISTED_URLS,
     NULL_PICK_COVERAGE,
     NUMBER_THEN_WORD,
     PLACE_BOOST,
     PLACE_TERMS,
     RRF_CONSTANT,
+    SEARCH_K,
     STOPWORDS,
     VECTOR_K,
 )
@@ -112,6 +114,17 @@ def bm25(texts: DataFrame, questions: DataFrame, k: int = LEXICAL_K, group: str
     return scored.select(group, "qid", key, "chars", total.alias("score"), coverage.alias("coverage")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("chars")
 
 
+def search(texts: DataFrame, questions: DataFrame, k: int = SEARCH_K) -> DataFrame:
+    """(site, qid, passage_id, rank, url, text): the few best passages for each question, for looking at."""
+    return bm25(texts, questions, k).join(texts.select("site", "passage_id", "url", "text"), ["site", "passage_id"]).select("site", "qid", "passage_id", "rank", "url", "text")
+
+
+def indexed_urls(texts: DataFrame, k: int = LISTED_URLS) -> DataFrame:
+    """(site, n, url): the first addresses of each site that has passages, in order."""
+    distinct = texts.filter(F.col("url").isNotNull()).select("site", "url").distinct()
+    return distinct.withColumn("n", F.row_number().over(W.partitionBy("site").orderBy("url"))).filter(F.col("n") <= k).select("site", "n", "url")
+
+
 #: Query vectors that are compared with all vectors at a time.
 QUERY_BLOCK = 2048
 

@@ -228,6 +228,15 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("qid", "passage_id", F.round("score", 5).alias("score"), F.round("coverage", 6).alias("coverage"), F.col("rank").cast(long))
 
 
+def search_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = retrieval.search(table(spark, sf_dir, "passages"), _questions(spark, sf_dir))
+    return found.select("qid", "passage_id", F.col("rank").cast(long), "url")
+
+
+def indexed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.indexed_urls(table(spark, sf_dir, "passages")).select("site", F.col("n").cast(long), "url")
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return retrieval.nearest_vectors(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
@@ -279,7 +288,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     url_normalized, site_pages, page_admission, link_edges, local_hint_links, internal_links, page_text, page_head, headings, schema_types, audit_page_rules, audit_duplicates, audit_site_rules,
     audit_site_schema, audit_findings, audit_summary, audit_rule_cases, robots_hints, robots_allowed, citation_links, sitemap_closure, link_reachability, crawl_replay, phones, nap_normalized,
-    name_norm, nap_judged, nap_phone_report, nap_places, nap_report, nap_name_mentions, passages_built, chunks, passage_chunks, chrome_flags, term_df, bm25_topk, vector_topk, rank_fusion,
+    name_norm, nap_judged, nap_phone_report, nap_places, nap_report, nap_name_mentions, passages_built, chunks, passage_chunks, chrome_flags, term_df, bm25_topk, search_top, indexed_urls, vector_topk, rank_fusion,
     abstain_cases, answers_verbatim, answers,
 )
 

@@ -304,6 +304,10 @@ SELECT term, count(*) AS df, round(ln(((SELECT n FROM n) - count(*) + 0.5::DOUBL
     "bm25_topk": f"""
 WITH {_bm25("SELECT site, passage_id, coalesce(text, '') AS text FROM passages", "SELECT DISTINCT site, query, site || '|' || query AS qid FROM answer WHERE query IS NOT NULL AND site IS NOT NULL", 12).strip()}
 SELECT qid, passage_id, round(score, 5) AS score, round(coverage, 6) AS coverage, rank FROM lexical""",
+    "search_top": f"""
+WITH {_bm25("SELECT site, passage_id, coalesce(text, '') AS text FROM passages", "SELECT DISTINCT site, query, site || '|' || query AS qid FROM answer WHERE query IS NOT NULL AND site IS NOT NULL", 4).strip()}
+SELECT qid, passage_id, rank, url FROM lexical JOIN passages USING (passage_id)""",
+    "indexed_urls": "SELECT site, row_number() OVER (PARTITION BY site ORDER BY url) AS n, url FROM (SELECT DISTINCT site, url FROM passages WHERE url IS NOT NULL) QUALIFY n <= 40",
     "vector_topk": f"WITH {_COSINES.strip()} SELECT query_id, vec_id, round(cosine, 4) AS cosine, rank FROM cosines",
     "rank_fusion": f"""
 WITH {_bm25("SELECT 'all' AS site, doc_id AS passage_id, coalesce(text, '') AS text FROM documents", "SELECT 'all' AS site, q AS qid, t AS query FROM (VALUES ('0', 'mean table of weight'), ('50', 'fit the small tree'), ('100', 'load the data file')) AS v(q, t)", 12).strip()},
