@@ -91,6 +91,10 @@ def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.findings(_archive(spark, sf_dir), table(spark, sf_dir, "sites"))
 
 
+def audit_finding_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_findings(spark, sf_dir).select("site", "page", "metric", "severity")
+
+
 def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.summary(audit_findings(spark, sf_dir))
 
@@ -287,7 +291,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     url_normalized, site_pages, page_admission, link_edges, local_hint_links, internal_links, page_text, page_head, headings, schema_types, audit_page_rules, audit_duplicates, audit_site_rules,
-    audit_site_schema, audit_findings, audit_summary, audit_rule_cases, robots_hints, robots_allowed, citation_links, sitemap_closure, link_reachability, crawl_replay, phones, nap_normalized,
+    audit_site_schema, audit_findings, audit_finding_keys, audit_summary, audit_rule_cases, robots_hints, robots_allowed, citation_links, sitemap_closure, link_reachability, crawl_replay, phones, nap_normalized,
     name_norm, nap_judged, nap_phone_report, nap_places, nap_report, nap_name_mentions, passages_built, chunks, passage_chunks, chrome_flags, term_df, bm25_topk, search_top, indexed_urls, vector_topk, rank_fusion,
     abstain_cases, answers_verbatim, answers,
 )

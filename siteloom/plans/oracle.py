@@ -83,31 +83,32 @@ counts AS (SELECT page_id, count(*) AS n FROM links WHERE {_host("target")} = {_
 ok AS (
   SELECT a.*, {_TITLE} AS title, s.text, len(regexp_extract_all(s.text, '[A-Za-z0-9'']+')) AS n_words, {_H1} AS h1, coalesce(c.n, 0) AS n_internal
   FROM admitted a JOIN shown s USING (page_id) LEFT JOIN counts c USING (page_id) WHERE admission = 'audited')"""
+_W = "[\\s\\x{1C}-\\x{1F}\\x{85}\\p{Z}]"
 _RULES = f"""
 rules AS (
-  SELECT site, page, page_id, crawl_idx, 'http_error_status' AS metric, CASE WHEN status >= 500 THEN 'high' ELSE 'medium' END AS severity FROM admitted WHERE admission = 'failed'
-  UNION ALL SELECT site, page, page_id, crawl_idx, 'fetch_error', 'medium' FROM admitted WHERE admission = 'unread'
-  UNION ALL SELECT site, page, page_id, crawl_idx, 'not_https', 'high' FROM ok WHERE page NOT LIKE 'https:%'
-  UNION ALL SELECT site, page, page_id, crawl_idx, 'redirect_chain', 'medium' FROM ok WHERE len(redirect_chain) >= 3
-  UNION ALL SELECT site, page, page_id, crawl_idx, 'missing_title', 'high' FROM ok WHERE NOT regexp_matches(html, '(?i)<title')
-  UNION ALL SELECT site, page, page_id, crawl_idx, 'empty_title', 'high' FROM ok WHERE regexp_matches(html, '(?i)<title') AND title = ''
-  UNION ALL SELECT site, page, page_id, crawl_idx, 'title_too_short', 'medium' FROM ok WHERE length(title) BETWEEN 1 AND 14
-  UNION ALL SELECT site, page, page_id, crawl_idx, 'title_too_long', 'low' FROM ok WHERE length(title) > 65
-  UNION ALL SELECT site, page, page_id, crawl_idx, 'missing_meta_description', 'medium' FROM ok WHERE NOT regexp_matches(html, '(?i)<meta[^>]*"description"')
-  UNION ALL SELECT site, page, page_id, crawl_idx, 'noindex_directive', 'high' FROM ok WHERE contains(lower(coalesce(headers['x-robots-tag'], '')), 'noindex')
-  UNION ALL SELECT site, page, page_id, crawl_idx, 'missing_viewport', 'high' FROM ok WHERE NOT regexp_matches(html, '(?i)<meta name="viewport"')
-  UNION ALL SELECT site, page, page_id, crawl_idx, 'missing_html_lang', 'medium' FROM ok WHERE NOT regexp_matches(html, '(?i)<html[^>]* lang="[^"]+"')
-  UNION ALL SELECT site, page, page_id, crawl_idx, 'missing_charset', 'low' FROM ok WHERE NOT regexp_matches(html, '(?i)<meta charset="[^"]+"')
-  UNION ALL SELECT site, page, page_id, crawl_idx, 'missing_canonical', 'medium' FROM ok WHERE NOT regexp_matches(html, '(?i)<link[^>]*canonical')
-  UNION ALL SELECT site, page, page_id, crawl_idx, 'missing_h1', 'high' FROM ok WHERE len(h1) = 0
-  UNION ALL SELECT site, page, page_id, crawl_idx, 'multiple_h1', 'medium' FROM ok WHERE len(h1) > 1
-  UNION ALL SELECT site, page, page_id, crawl_idx, 'thin_content', 'medium' FROM ok WHERE n_words < 150 AND status = 200
-  UNION ALL SELECT site, page, page_id, crawl_idx, 'images_missing_alt', 'medium' FROM ok WHERE regexp_matches(html, '(?i)<img')
-  UNION ALL SELECT site, page, page_id, crawl_idx, 'missing_open_graph', 'low' FROM ok WHERE NOT regexp_matches(html, '(?i)og:title')
-  UNION ALL SELECT site, page, page_id, crawl_idx, 'missing_json_ld', 'medium' FROM ok WHERE NOT regexp_matches(html, '(?i)ld\\+json')
-  UNION ALL SELECT site, page, page_id, crawl_idx, 'generic_anchor_text', 'low' FROM ok WHERE len(list_filter(regexp_extract_all(html, '(?s)<a href="[^"]*">(.*?)</a>', 1), lambda x: lower(trim(x)) IN {_words(lx.GENERIC_ANCHORS)})) > 0
-  UNION ALL SELECT site, page, page_id, crawl_idx, 'no_internal_links', 'medium' FROM ok WHERE n_internal = 0 AND status = 200
-  UNION ALL SELECT site, page, page_id, crawl_idx, 'soft_404', 'high' FROM ok WHERE status = 200 AND (contains(lower(title), '404') OR contains(lower(title), 'not found')))"""
+  SELECT site, page, page_id, crawl_idx, 'http_error_status' AS metric, CASE WHEN status >= 500 THEN 'high' ELSE 'medium' END AS severity, CAST(status || ' ' || coalesce(url, '') || ' ' || coalesce(error, '') AS VARCHAR) AS sig FROM admitted WHERE admission = 'failed'
+  UNION ALL SELECT site, page, page_id, crawl_idx, 'fetch_error', 'medium', CAST(coalesce(error, '') AS VARCHAR) FROM admitted WHERE admission = 'unread'
+  UNION ALL SELECT site, page, page_id, crawl_idx, 'not_https', 'high', CAST('' AS VARCHAR) FROM ok WHERE page NOT LIKE 'https:%'
+  UNION ALL SELECT site, page, page_id, crawl_idx, 'redirect_chain', 'medium', CAST(len(redirect_chain) AS VARCHAR) FROM ok WHERE len(redirect_chain) >= 3
+  UNION ALL SELECT site, page, page_id, crawl_idx, 'missing_title', 'high', CAST('' AS VARCHAR) FROM ok WHERE NOT regexp_matches(html, '(?i)<title')
+  UNION ALL SELECT site, page, page_id, crawl_idx, 'empty_title', 'high', CAST('' AS VARCHAR) FROM ok WHERE regexp_matches(html, '(?i)<title') AND title = ''
+  UNION ALL SELECT site, page, page_id, crawl_idx, 'title_too_short', 'medium', CAST(title AS VARCHAR) FROM ok WHERE length(title) BETWEEN 1 AND 14
+  UNION ALL SELECT site, page, page_id, crawl_idx, 'title_too_long', 'low', CAST(title AS VARCHAR) FROM ok WHERE length(title) > 65
+  UNION ALL SELECT site, page, page_id, crawl_idx, 'missing_meta_description', 'medium', CAST('' AS VARCHAR) FROM ok WHERE NOT regexp_matches(html, '(?i)<meta[^>]*"description"')
+  UNION ALL SELECT site, page, page_id, crawl_idx, 'noindex_directive', 'high', CAST(lower(coalesce(headers['x-robots-tag'], '')) AS VARCHAR) FROM ok WHERE contains(lower(coalesce(headers['x-robots-tag'], '')), 'noindex')
+  UNION ALL SELECT site, page, page_id, crawl_idx, 'missing_viewport', 'high', CAST('' AS VARCHAR) FROM ok WHERE NOT regexp_matches(html, '(?i)<meta name="viewport"')
+  UNION ALL SELECT site, page, page_id, crawl_idx, 'missing_html_lang', 'medium', CAST('' AS VARCHAR) FROM ok WHERE NOT regexp_matches(html, '(?i)<html[^>]* lang="[^"]+"')
+  UNION ALL SELECT site, page, page_id, crawl_idx, 'missing_charset', 'low', CAST('' AS VARCHAR) FROM ok WHERE NOT regexp_matches(html, '(?i)<meta charset="[^"]+"')
+  UNION ALL SELECT site, page, page_id, crawl_idx, 'missing_canonical', 'medium', CAST('' AS VARCHAR) FROM ok WHERE NOT regexp_matches(html, '(?i)<link[^>]*canonical')
+  UNION ALL SELECT site, page, page_id, crawl_idx, 'missing_h1', 'high', CAST('' AS VARCHAR) FROM ok WHERE len(h1) = 0
+  UNION ALL SELECT site, page, page_id, crawl_idx, 'multiple_h1', 'medium', CAST(len(h1) || array_to_string(h1[:6], ' / ') AS VARCHAR) FROM ok WHERE len(h1) > 1
+  UNION ALL SELECT site, page, page_id, crawl_idx, 'thin_content', 'medium', CAST(left(n_words || ' words: ' || left(trim(regexp_replace(text, '{_W}+', ' ', 'g')), 180), 180) AS VARCHAR) FROM ok WHERE n_words < 150 AND status = 200
+  UNION ALL SELECT site, page, page_id, crawl_idx, 'images_missing_alt', 'medium', CAST('' AS VARCHAR) FROM ok WHERE regexp_matches(html, '(?i)<img')
+  UNION ALL SELECT site, page, page_id, crawl_idx, 'missing_open_graph', 'low', CAST('' AS VARCHAR) FROM ok WHERE NOT regexp_matches(html, '(?i)og:title')
+  UNION ALL SELECT site, page, page_id, crawl_idx, 'missing_json_ld', 'medium', CAST('' AS VARCHAR) FROM ok WHERE NOT regexp_matches(html, '(?i)ld\\+json')
+  UNION ALL SELECT site, page, page_id, crawl_idx, 'generic_anchor_text', 'low', CAST(array_to_string(list_filter(regexp_extract_all(html, '(?s)<a href="[^"]*">(.*?)</a>', 1), lambda x: lower(trim(x)) IN {_words(lx.GENERIC_ANCHORS)}), ', ') AS VARCHAR) FROM ok WHERE len(list_filter(regexp_extract_all(html, '(?s)<a href="[^"]*">(.*?)</a>', 1), lambda x: lower(trim(x)) IN {_words(lx.GENERIC_ANCHORS)})) > 0
+  UNION ALL SELECT site, page, page_id, crawl_idx, 'no_internal_links', 'medium', CAST('' AS VARCHAR) FROM ok WHERE n_internal = 0 AND status = 200
+  UNION ALL SELECT site, page, page_id, crawl_idx, 'soft_404', 'high', CAST(title AS VARCHAR) FROM ok WHERE status = 200 AND (contains(lower(title), '404') OR contains(lower(title), 'not found')))"""
 _DUPLICATES = """
 texts AS (
   SELECT site, page, crawl_idx, page_id, 'duplicate_title' AS metric, 'high' AS severity, lower(trim(title)) AS t FROM ok
@@ -129,7 +130,6 @@ site_rules AS (
   UNION ALL SELECT s.site, start_url, 'missing_localbusiness_schema', 'medium' FROM sites s JOIN kinds k USING (site) WHERE NOT has_local
   UNION ALL SELECT s.site, start_url, 'missing_aeo_schema', 'low' FROM sites s JOIN kinds k USING (site) WHERE NOT has_answer
   UNION ALL SELECT s.site, start_url, 'missing_favicon', 'low' FROM sites s JOIN home USING (site))"""
-_W = "[\\s\\x{1C}-\\x{1F}\\x{85}\\p{Z}]"
 _PHONE = lx.PHONE.replace("\\s", _W).replace("\\d", "\\p{Nd}").replace("[" + _W + ".\\-]", "[\\s\\x{1C}-\\x{1F}\\x{85}\\p{Z}.\\-]")
 
 
@@ -215,6 +215,11 @@ cosines AS (
          row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) DESC, e.vec_id) AS rank
   FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 QUALIFY rank <= 8)"""
 
+_EVERY = """
+every AS (
+  SELECT DISTINCT site, page, metric, severity, sig FROM rules
+  UNION ALL SELECT site, page, metric, severity, evidence FROM dups
+  UNION ALL SELECT DISTINCT site, page, metric, severity, '' FROM site_rules)"""
 _HINTED = _PAGES.strip().replace(" html, coalesce(null", """ html || '<a href="/visit-us">v</a>' AS html, coalesce(null""")
 
 SQL: dict[str, str] = {
@@ -232,6 +237,8 @@ SQL: dict[str, str] = {
     "audit_duplicates": f"WITH {_AUDITED.strip()}, {_DUPLICATES.strip()} SELECT site, metric, page, evidence FROM dups",
     "audit_site_rules": f"WITH {_AUDITED.strip()}, {_SCHEMA.strip()}, {_SITE_RULES.strip()} SELECT site, page, metric, severity FROM site_rules",
     "audit_site_schema": f"WITH {_AUDITED.strip()}, {_SCHEMA.strip()} SELECT site, n_pages, has_local, has_answer FROM kinds",
+    "audit_finding_keys": f"WITH {_AUDITED.strip()}, {_RULES.strip()}, {_DUPLICATES.strip()}, {_SCHEMA.strip()}, {_SITE_RULES.strip()}, {_EVERY.strip()} SELECT site, page, metric, severity FROM every",
+    "audit_summary": f"WITH {_AUDITED.strip()}, {_RULES.strip()}, {_DUPLICATES.strip()}, {_SCHEMA.strip()}, {_SITE_RULES.strip()}, {_EVERY.strip()} SELECT metric, severity, count(*) AS n FROM every GROUP BY metric, severity",
     "robots_hints": """
 WITH l AS (SELECT site, list_filter(string_split(replace(coalesce(robots_body, ''), chr(13) || chr(10), chr(10)), chr(10)), lambda x: starts_with(lower(x), 'sitemap:')) AS h FROM sites)
 SELECT site, CAST(i - 1 AS BIGINT) AS idx, trim(substr(hint, 9)) AS hint FROM (SELECT site, unnest(h) AS hint, generate_subscripts(h, 1) AS i FROM l)""",
