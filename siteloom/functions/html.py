@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import dealt
 from .lexicon import BLOCK_CHARS, MICRODATA_TYPES, NAP_TYPES
 from .urls import page_links
 
@@ -299,7 +300,4 @@ def features(pages: DataFrame) -> DataFrame:
     """The features of every page with html, by page_id."""
     pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     rows = pages.filter(F.col("html").isNotNull() & (F.col("html") != "")).select("page_id", F.coalesce(F.nullif("final_url", F.lit("")), "url", F.lit("")).alias("url"), "html")
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
-        rows = rows.repartition(cores)
-    return rows.mapInPandas(_batches, SCHEMA)
+    return dealt(rows).mapInPandas(_batches, SCHEMA)

@@ -170,7 +170,7 @@ def compare(values: DataFrame, sites: DataFrame | None = None) -> DataFrame:
     Distinct values are aggregated before they are listed, so a group holds as
     many entries as there are distinct values and pages, not occurrences.
     """
-    rows = values.withColumn("norm", norm_value(F.col("field"), F.col("value"))).withColumn("ord", F.struct("page_idx", "value_idx"))
+    rows = values.withColumn("norm", norm_value(F.col("field"), F.col("value"))).withColumn("ord", F.struct("page_idx", "value_idx")).persist(StorageLevel.MEMORY_AND_DISK)
     sources = rows.groupBy("site", "field").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"))
     kept = _dominant(rows).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -194,7 +194,8 @@ def compare(values: DataFrame, sites: DataFrame | None = None) -> DataFrame:
 
 def report(archive: DataFrame, sites: DataFrame) -> DataFrame:
     """The report of every site from its archived pages, citations included."""
-    return compare(spread_name(cleaned(page_values(archive)), archive), sites)
+    values = cleaned(page_values(archive)).persist(StorageLevel.MEMORY_AND_DISK)
+    return compare(spread_name(values, archive), sites)
 
 
 def proposal_pages(archive: DataFrame) -> DataFrame:

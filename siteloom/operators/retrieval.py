@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions.html import features
 from ..functions.lexicon import (
@@ -45,13 +46,14 @@ def passages(archive: DataFrame) -> DataFrame:
     """
     pages = crawl_pages(archive).filter((F.col("status") == 200) & (F.coalesce("html", F.lit("")) != ""))
     good = F.filter("blocks", lambda b: ~is_chrome(b))
-    from_blocks = F.filter(F.flatten(F.transform(good, lambda b: chunks(b))), lambda c: ~is_chrome(c) & (F.length(c) >= BLOCK_CHARS))
+    from_blocks = F.filter(F.flatten(F.transform("good", lambda b: chunks(b))), lambda c: ~is_chrome(c) & (F.length(c) >= BLOCK_CHARS))
     from_root = F.filter(chunks(F.col("root_text")), lambda c: ~is_chrome(c))
     order = F.struct(F.coalesce("crawl_idx", F.lit(2**31 - 1)), "page_id").alias("page_idx")
-    texts = features(pages).select("page_id", F.when(F.size(good) > 0, from_blocks).otherwise(from_root).alias("texts"), (F.size(good) > 0).alias("distinct"))
+    distinct = F.size("good") > 0
+    texts = features(pages).select("page_id", good.alias("good"), "root_text").select("page_id", F.when(distinct, from_blocks).otherwise(from_root).alias("texts"), distinct.alias("distinct"))
     rows = texts.join(pages.select("page_id", "site", "page", order), "page_id").select("site", "page_idx", "page", "distinct", F.posexplode("texts").alias("i", "text"))
     first = W.partitionBy("site", "page_idx", F.lower("text")).orderBy("i")
-    kept = rows.withColumn("rn", F.row_number().over(first)).filter((F.col("rn") == 1) | ~F.col("distinct"))
+    kept = rows.withColumn("rn", F.row_number().over(first)).filter((F.col("rn") == 1) | ~F.col("distinct")).persist(StorageLevel.MEMORY_AND_DISK)
     per_page = kept.groupBy("site", "page_idx").agg(F.count("*").alias("n"))
     base = per_page.select("site", "page_idx", (F.sum("n").over(W.partitionBy("site").orderBy("page_idx")) - F.col("n")).alias("base"))
     idx = F.col("base") + F.row_number().over(W.partitionBy("site", "page_idx").orderBy("i")) - 1

@@ -16,6 +16,7 @@ from ..functions import text as tx
 from ..functions import urls
 from ..functions.html import features
 from ..operators import audit, crawl, nap, retrieval
+from ..session import dealt
 from ..sources import robots
 from ..sources.archive import admission, crawl_pages, page_url, table
 
@@ -204,7 +205,7 @@ def passages_built(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.chunks(F.col("text"))).alias("i", "chunk")).select("doc_id", F.col("i").cast(long), "chunk")
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(tx.chunks(F.col("text"))).alias("i", "chunk")).select("doc_id", F.col("i").cast(long), "chunk")
 
 
 def passage_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +218,8 @@ def chrome_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = retrieval.term_statistics(table(spark, sf_dir, "documents").withColumn("g", F.lit(1)), ["g"], "doc_id")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    stats = retrieval.term_statistics(docs.withColumn("g", F.lit(1)), ["g"], "doc_id")
     n = table(spark, sf_dir, "documents").count()
     return stats.select("term", "df", F.round(retrieval.idf(F.col("df").cast("double"), F.lit(float(n))), 6).alias("idf"))
 
@@ -253,7 +255,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words' and the vectors' lists of the queries fused; vector ids are read as document ids."""
-    docs = table(spark, sf_dir, "documents").withColumn("site", F.lit("all")).select("site", F.col("doc_id").alias("passage_id"), "text")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("site", F.lit("all")).select("site", F.col("doc_id").alias("passage_id"), "text")
     asked = spark.createDataFrame([("all", "0", "mean table of weight"), ("all", "50", "fit the small tree"), ("all", "100", "load the data file")], "site string, qid string, query string")
     lexical = retrieval.bm25(docs, asked).select("qid", F.col("passage_id").alias("id"), "rank", "score", "coverage")
     vector = _vectors(spark, sf_dir).filter(F.col("query_id").isin(0, 50, 100)).select(F.col("query_id").cast("string").alias("qid"), F.col("vec_id").alias("id"), "rank", F.col("cosine").alias("score"))

@@ -27,6 +27,12 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """At least as many tasks as cores: an input of few splits is dealt out anew, a large one passes as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder of the cluster and go on from there.
 
