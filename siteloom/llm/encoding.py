@@ -197,7 +197,7 @@ _NODE = re.compile(r"[^<>\n]+")
 _WORD = re.compile(r"[^\s<>]+")
 
 
-@lru_cache(maxsize=65536)
+@lru_cache(maxsize=16384)
 def _repair_run(run: str, left: str, right: str) -> str | None:
     """The text a run of characters beyond ASCII was in UTF-8, with its neighbours for the cost."""
     best, least = None, cost(left + run + right)
@@ -260,7 +260,7 @@ def _utf8_pass(text: str) -> str:
     return _RUN.sub(put, text)
 
 
-@lru_cache(maxsize=65536)
+@lru_cache(maxsize=4096)
 def _legacy(stretch: str) -> tuple[str, tuple[str, str]] | None:
     """The best strict round trip between legacy encodings and its pair, if its cost is clearly lower."""
     before = cost(stretch)
