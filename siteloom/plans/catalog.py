@@ -262,6 +262,16 @@ def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fused(lexical, vector, by=["qid"]).select("qid", "id", F.col("rank").cast(long), F.round("fusion", 9).alias("fusion"), "vector")
 
 
+def rank_fusion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both lists fused for every vector whose id 50 divides; its question is the text of the document of that id."""
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("site", F.lit("all")).select("site", F.col("doc_id").alias("passage_id"), "text")
+    wanted = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("passage_id"))
+    asked = docs.join(wanted, "passage_id", "left_semi").select("site", F.col("passage_id").cast("string").alias("qid"), F.col("text").alias("query"))
+    lexical = retrieval.bm25(docs, asked).select("qid", F.col("passage_id").alias("id"), "rank", "score", "coverage")
+    vector = _vectors(spark, sf_dir).select(F.col("query_id").cast("string").alias("qid"), F.col("vec_id").alias("id"), "rank", F.col("cosine").alias("score"))
+    return retrieval.fused(lexical, vector, by=["qid"]).select("qid", "id", F.col("rank").cast(long), F.round("fusion", 9).alias("fusion"), "vector")
+
+
 _ABSTAIN = (
     (1, "opening hours", None, 0.0, 0.0, False), (2, "opening hours", "We bake bread every day of the week here", 9.0, 1.0, False), (3, "opening hours", "We open at 9 am", 9.0, 1.0, False),
     (4, "what is it", "some text of a page", 1.4, 0.0, False), (5, "what is it", "some text of a page", 1.5, 0.0, False), (6, "parking garage", "some text of a page", 1.9, 0.0, False),
@@ -294,7 +304,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     url_normalized, site_pages, page_admission, link_edges, local_hint_links, internal_links, page_text, page_head, headings, schema_types, audit_page_rules, audit_duplicates, audit_site_rules,
     audit_site_schema, audit_findings, audit_finding_keys, audit_summary, audit_rule_cases, robots_hints, robots_allowed, citation_links, sitemap_closure, link_reachability, crawl_replay, phones, nap_normalized,
-    name_norm, nap_judged, nap_phone_report, nap_places, nap_report, nap_name_mentions, passages_built, chunks, passage_chunks, chrome_flags, term_df, bm25_topk, search_top, indexed_urls, vector_topk, rank_fusion,
+    name_norm, nap_judged, nap_phone_report, nap_places, nap_report, nap_name_mentions, passages_built, chunks, passage_chunks, chrome_flags, term_df, bm25_topk, search_top, indexed_urls, vector_topk, rank_fusion, rank_fusion_all,
     abstain_cases, answers_verbatim, answers,
 )
 

@@ -1,0 +1,18 @@
+from compare import connect, differences
+
+from siteloom.plans import catalog, oracle
+
+DOCS = "SELECT 'all' AS site, doc_id AS passage_id, coalesce(text, '') AS text FROM documents"
+ASKED = "SELECT 'all' AS site, CAST(doc_id AS VARCHAR) AS qid, text AS query FROM documents WHERE text IS NOT NULL AND doc_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0)"
+
+
+def test_every_query_vector_is_fused(spark, data):
+    want = {str(r.vec_id) for r in spark.read.parquet(f"{data}/embeddings.parquet").filter("vec_id % 50 = 0 AND size(embedding) > 0").collect()}
+    got = catalog.queries()["rank_fusion_all"](spark, data)
+    assert len(want) > 3 and {r.qid for r in got.select("qid").distinct().collect()} >= want
+    sql = f"""
+WITH {oracle._bm25(DOCS, ASKED, 12).strip()}, {oracle._COSINES.strip()},
+both_ AS (SELECT qid, passage_id AS id, rank, false AS vector FROM lexical UNION ALL SELECT CAST(query_id AS VARCHAR), vec_id, rank, true FROM cosines),
+merged AS (SELECT qid, id, sum(1::DOUBLE / (60 + rank)) AS fusion, min((vector, rank)) AS f, max(vector) AS vector FROM both_ GROUP BY qid, id)
+SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY fusion DESC, f) AS rank, round(fusion, 9) AS fusion, vector FROM merged QUALIFY rank <= 8"""
+    assert differences(got, connect(data), sql) == []
