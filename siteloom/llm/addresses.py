@@ -3,8 +3,9 @@
 1. Each distinct writing is read into parts: house number, street name, street
    type, direction, postal code and town. Units, floors, countries, business names
    in front and the state carry no identity and are left out.
-2. Parts that an entry lacks are filled in from other entries of the same site and
-   house number where those agree, and towns from the postal codes they stand with.
+2. Parts that an entry lacks are filled in from other entries of the same site,
+   house number and street name (after 3) where those agree, and towns from the
+   postal codes they stand with.
 3. Street names become vectors of weighted character n-grams. Candidates come from
    an inverted index keyed by house number and n-gram (so the house numbers are
    compatible by construction), of which only the prefix of the rarest n-grams is
@@ -12,7 +13,8 @@
    cosine of the whole vectors and by edit distance. A misspelt name stands for the
    most frequent of the names it is alike to.
 4. Writings whose names stand for the same one are the same place if no part contradicts: street
-   type, direction, postal code and town; a part missing on one side does not.
+   type, direction, postal code and town; a part missing on one side does not,
+   nor does a place of which an entry says nothing.
 
 The n-gram join runs over distinct (house number, street name) pairs and the
 comparison of parts over distinct readings in which misspelt names and towns are
@@ -224,15 +226,37 @@ def entries(reports: DataFrame) -> DataFrame:
     )
 
 
+def _usual_names(rows: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """(house, name, stands_for) and the links of names that are alike: a name stands for the most frequent of those it is alike to."""
+    counts = cut(rows.groupBy("house", "name").agg(F.count("*").alias("n")))
+    met = cut(similar_names(counts.select("house", "name"), cosine))
+    best = F.max_by("name_b", F.struct(F.col("n"), F.col("name_b"))).alias("stands_for")
+    return met.join(counts.withColumnRenamed("name", "name_b"), ["house", "name_b"]).groupBy("house", F.col("name_a").alias("name")).agg(best), met
+
+
+@F.pandas_udf(T.BooleanType())
+def one_place(towns: pd.Series) -> pd.Series:
+    """Whether all of the towns can be one."""
+    return pd.Series([all(alike(x, y) for k, x in enumerate(ts) for y in ts[:k]) for ts in (sorted(t) for t in towns)], dtype=bool)
+
+
 def _filled(rows: DataFrame) -> DataFrame:
-    """Parts an entry lacks, from entries of its site with the same house number where those agree."""
-    agreed = rows.groupBy("site", "house").agg(*(F.when(F.count_distinct(F.nullif(F.col(c), F.lit(""))) == 1, F.max(c)).alias(f"one_{c}") for c in ("kind", "way", "zip")))
-    out = rows.join(agreed, ["site", "house"], "left")
-    for c in ("kind", "way", "zip"):
-        out = out.withColumn(c, F.when(F.col(c) == "", F.coalesce(f"one_{c}", F.lit(""))).otherwise(F.col(c))).drop(f"one_{c}")
+    """Parts an entry lacks, from entries of its site with the same house number and street name where those agree.
+
+    A code is filled in only where no town is written, and only if the towns of those entries can be one.
+    """
+    by = ["site", "house", "stands_for"]
     towns = rows.filter((F.col("zip") != "") & (F.col("town") != "")).groupBy("zip", "town").count()
-    usual = towns.groupBy("zip").agg(F.max_by("town", F.struct("count", "town")).alias("usual"))
-    return out.join(usual, "zip", "left").select("value_id", *(x.split()[0] for x in _FORM.split(", ")), F.coalesce("usual", F.lit("")).alias("usual"))
+    usual = cut(towns.groupBy("zip").agg(F.max_by("town", F.struct("count", "town")).alias("usual")))
+    placed = rows.join(usual, "zip", "left").withColumn("place", F.nullif(F.coalesce("usual", "town"), F.lit("")))
+    one = lambda c: F.when(F.count_distinct(F.nullif(F.col(c), F.lit(""))) == 1, F.max(c)).alias(f"one_{c}")
+    agreed = placed.groupBy(*by).agg(*(one(c) for c in ("kind", "way", "zip")), F.collect_set("place").alias("places"))
+    agreed = agreed.withColumn("one_zip", F.when(one_place("places"), F.col("one_zip"))).drop("places")
+    out = rows.join(agreed, by, "left")
+    for c in ("kind", "way", "zip"):
+        lacks = (F.col(c) == "") & (F.col("town") == "") if c == "zip" else F.col(c) == ""
+        out = out.withColumn(c, F.when(lacks, F.coalesce(f"one_{c}", F.lit(""))).otherwise(F.col(c))).drop(f"one_{c}")
+    return out.join(usual, "zip", "left").select("value_id", "stands_for", *(x.split()[0] for x in _FORM.split(", ")), F.coalesce("usual", F.lit("")).alias("usual"))
 
 
 def similar_names(names: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -271,11 +295,13 @@ def alike_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.BooleanType())
 def same_town(zip_a: pd.Series, zip_b: pd.Series, town_a: pd.Series, town_b: pd.Series, usual_a: pd.Series, usual_b: pd.Series) -> pd.Series:
-    """Equal codes, or towns that are alike where a code is missing; towns that both sides name must be alike."""
+    """Equal codes, or towns that are alike where a code is missing; an unknown place contradicts none."""
 
     def one(za: str, zb: str, ta: str, tb: str, ua: str, ub: str) -> bool:
         if za and zb:
             return za == zb
+        if not (ta or ua) or not (tb or ub):
+            return True
         return any(x and y and alike(x, y) for x in (ta, ua) for y in (tb, ub))
 
     return pd.Series([one(*x) for x in zip(zip_a, zip_b, town_a, town_b, usual_a, usual_b)], dtype=bool)
@@ -285,18 +311,13 @@ def same_places(reports: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(value_id_a, value_id_b), value_id_a < value_id_b, of the entries that name the same building."""
     rows = entries(reports)
     read_ = spread(rows.select("value").distinct()).mapInPandas(_read_batches, f"value string, {_FORM}")
-    filled = cut(_filled(cut(rows.join(read_, "value"))))
-    counts = cut(filled.groupBy("house", "name").agg(F.count("*").alias("n")))
-    met = similar_names(counts.select("house", "name"), cosine)
-    usual_name = (
-        met.join(counts.withColumnRenamed("name", "name_b"), ["house", "name_b"])
-        .groupBy("house", F.col("name_a").alias("name"))
-        .agg(F.max_by("name_b", F.struct(F.col("n"), F.col("name_b"))).alias("stands_for"))
-    )
+    rows = cut(rows.join(read_, "value"))
+    usual_name, _ = _usual_names(rows, cosine)
+    filled = cut(_filled(rows.join(usual_name, ["house", "name"])))
     known = (F.col("usual") != "") & (F.col("town") != "")
     town = F.when(known & alike_udf("town", "usual"), F.col("usual")).otherwise(F.col("town"))
     parts = ["house", "stands_for", "kind", "way", "zip", "town", "usual"]
-    named = cut(filled.join(usual_name, ["house", "name"]).withColumn("town", town).select("value_id", *parts))
+    named = cut(filled.withColumn("town", town).select("value_id", *parts))
     forms = cut(named.groupBy(*parts).agg(F.min("value_id").alias("form")))
     a = forms.select("house", "stands_for", *(F.col(c).alias(f"{c}_a") for c in [*parts[2:], "form"]))
     b = forms.select("house", "stands_for", *(F.col(c).alias(f"{c}_b") for c in [*parts[2:], "form"]))

@@ -53,3 +53,13 @@ def test_names_against_brute_force(spark):
     got = {(r.name_a, r.name_b) for r in A.similar_names(df).collect() if r.name_a < r.name_b}
     want = {(a, b) for a in names for b in names if a < b and A.alike(a, b)}
     assert got <= want and want - got <= {("orlumol", "orulmhol")}  # two misspellings, each alike to the name itself
+
+
+def test_parts_come_from_the_same_street_only(spark):
+    rows = [("h", "full_address", ["12 Oak St, Xaville", "12 Elm Ave, 10010 Yerton"], [0, 1], "x", 1), ("k", "full_address", ["12 Oak St, 10020 Xaville"], [2], "x", 1)]
+    assert {tuple(r) for r in A.same_places(spark.createDataFrame(rows, REPORT)).collect()} == {(0, 2)}
+
+
+def test_a_filled_code_does_not_outvote_a_town_and_an_unknown_place_is_compatible(spark):
+    rows = [("h", "full_address", ["12 Oak St, Xaville", "12 Oak St, 10010 Yerton", "12 Oak St"], [0, 1, 2], "x", 1), ("k", "full_address", ["12 Oak St, 10020 Xaville"], [3], "x", 1)]
+    assert {tuple(r) for r in A.same_places(spark.createDataFrame(rows, REPORT)).collect()} == {(0, 2), (0, 3), (1, 2), (2, 3)}
