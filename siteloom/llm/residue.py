@@ -7,7 +7,8 @@ and the TF-IDF containment of one in the other decides:
 
 * ``placeholder``: all of the exemplar lies in the window (a stretch the size of
   the exemplar is enough, real sentences may stand around it);
-* ``unset`` and ``filler``: the window lies in the exemplar;
+* ``unset`` and ``filler``: the window lies in the exemplar; for ``unset`` the line
+  or, in running text, one of its sentences;
 * ``message``: the line lies in the exemplar. A page is left out only if such
   lines cover (nearly) all the weight of its body, so a notice beside real
   content is none.
@@ -393,6 +394,10 @@ def _windows(words: list[str]) -> Iterator[list[str]]:
         yield words[at : at + WINDOW]
 
 
+#: Values that a template prints where it has none (fixed values).
+_UNSET = frozenset({"undefined", "null", "nan"})
+_SENTENCE = re.compile(r"(?<=[.!?:。])\s*")
+
 _NOSCRIPT, _TAGS = re.compile(r"(?is)<noscript[^>]*>(.*?)</noscript"), re.compile(r"<[^>]*>")
 
 
@@ -431,6 +436,7 @@ def _promising(html: str) -> tuple[list[tuple[str, str]], set[str]]:
         seen |= known
         if not hit and place != "quoted" and known & telling:
             hit = bool(_retrieved(bag)) or len(words) > WINDOW and any(_retrieved(set(w)) for w in _windows(words))
+            hit = hit or not _UNSET.isdisjoint(bag) and any(_retrieved(set(tokens(p))) for p in _SENTENCE.split(text))
     return (found if hit else []), seen
 
 
@@ -481,6 +487,26 @@ class Scorer:
             best[label] = max(best.get(label, 0.0), value)
         return best
 
+    def placeholder(self, words: list[str]) -> bool:
+        """Whether a stretch of running text, of the size of some placeholder exemplar, holds all of it."""
+        exemplars, _ = _index()
+        telling, bag = _telling(), Counter(words)
+        for k in {k for t in bag if t in telling for k in telling[t]}:
+            label, exemplar = exemplars[k]
+            if label != "placeholder":
+                continue
+            own = 0.99 * sum(self.weights[t] * n for t, n in exemplar.items())
+            held = lambda b: sum(self.weights[t] * min(n, b[t]) for t, n in exemplar.items())  # noqa: B023, E731
+            size = exemplar.total()
+            if held(bag) >= own and any(held(Counter(words[at : at + size])) >= own for at in range(max(1, len(words) - size + 1))):
+                return True
+        return False
+
+    def unset(self, text: str) -> float:
+        """The best containment of a sentence with an unset value in the unset values."""
+        parts = [p for p in map(tokens, _SENTENCE.split(text)) if not _UNSET.isdisjoint(p)]
+        return max((self.labels(p).get("unset", 0.0) for p in parts), default=0.0)
+
     def verdict(self, places: list[str], texts: list[str]) -> tuple[str, float] | None:
         """(kind, coverage) of a page that is residue, else None."""
         covered = total = 0.0
@@ -493,10 +519,15 @@ class Scorer:
                     labels = self.labels(window)
                     if labels.get("placeholder", 0) >= 0.99:
                         return "placeholder", 1.0
-                    if labels.get("unset", 0) >= CONTAINED and len(words) <= WINDOW and {"undefined", "null", "nan"} & set(words):
+                    if labels.get("unset", 0) >= CONTAINED and len(words) <= WINDOW and not _UNSET.isdisjoint(words):
                         return "unset", labels["unset"]
                     if labels.get("filler", 0) >= CONTAINED and len(window) >= LEAST_FILLER:
                         return "filler", labels["filler"]
+                if len(words) > WINDOW:
+                    if self.placeholder(words):
+                        return "placeholder", 1.0
+                    if not _UNSET.isdisjoint(words) and (value := self.unset(text)) >= CONTAINED:
+                        return "unset", value
             if place != "title":
                 weight = self.weight(words)
                 total += weight
@@ -511,7 +542,7 @@ class Scorer:
         whole = self.labels(tokens(text)).get("message", 0.0)
         if whole >= CONTAINED:
             return whole
-        parts = [tokens(p) for p in re.split(r"(?<=[.!?:。])\s*", text)]
+        parts = [tokens(p) for p in _SENTENCE.split(text)]
         weights = [self.weight(p) for p in parts]
         if not sum(weights):
             return 0.0

@@ -68,3 +68,19 @@ def test_residue(spark, pages):
     got = {r.page_id: r.kind for r in R.residue(pages(*rows)).collect()}
     assert got == {k: kind for k, (_, kind) in enumerate(CASES) if kind}
     assert R.residue(pages(*rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Welcome to our shop. Write a short paragraph about your services here.",
+        "We bake bread daily in town. Write a short paragraph about your services here. Come and visit us soon.",
+        "Our old news follow below. Hello world! Welcome to WordPress. This is your first post. Edit or delete it. More soon.",
+        "We bake bread every day of the week in our shop. Price: undefined. Come and visit us in town.",
+    ],
+)
+def test_residue_inside_long_lines(spark, pages, text):
+    rest = "<p>The ovens are lit before dawn and the first loaves are on the shelves at six.</p>"
+    html = f"<main><p>{text}</p>{rest}</main>"
+    real = "<main><p>The value null means that nothing was stored there. Our undefined terms are listed in a table of words.</p>" + rest + "</main>"
+    assert [r.page_id for r in R.residue(pages({"html": html}, {"html": real})).collect()] == [0]
