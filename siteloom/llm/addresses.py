@@ -85,7 +85,7 @@ def fold(text: str) -> str:
 
 
 def read(value: str | None) -> dict[str, str] | None:
-    """The parts of one writing: house, name, kind, way (direction), zip, town; None without house and name."""
+    """The parts of one writing: house, name, kind, way (direction), zip, town and whether the town is set off; None without house and name."""
     if not value:
         return None
     text = unicodedata.normalize("NFC", value)
@@ -116,7 +116,8 @@ def read(value: str | None) -> dict[str, str] | None:
     if not name:
         return None
     rest = before[: len(before) - used_before] + ["|"] + after[used_after:]
-    return {"house": house, "name": name, "kind": kind, "way": way, "zip": code, "town": _town(rest)}
+    marked = kind[:3] in ("en:", "de:") or "~" in before or bool(_town(["|", *after[used_after:]]))
+    return {"house": house, "name": name, "kind": kind, "way": way, "zip": code, "town": _town(rest), "marked": "1" if marked else ""}
 
 
 def _street(before: list[str], after: list[str]) -> tuple[str, str, str, int, int]:
@@ -138,9 +139,7 @@ def _street(before: list[str], after: list[str]) -> tuple[str, str, str, int, in
     french = len(run) > 1 and run[0] in _FR and (run[1] in _PARTICLES or run[0] not in _DIRECTIONS and run[-1] not in _EN)
     if french:
         words = [w for w in run[1:] if w not in _PARTICLES]
-        words = words[:2] if len(words) > 2 else words
-        used = next((k + 1 for k in range(len(run) - 1, 0, -1) if words and run[k] == words[-1]), len(run))
-        return " ".join(words), "fr:" + _FR[run[0]], "", 0, used
+        return " ".join(words), "fr:" + _FR[run[0]], "", 0, len(run)
     way, k = "", 0
     if len(run) > 1 and run[0] in _DIRECTIONS and run[1] not in _EN:
         way, k = _DIRECTIONS[run[0]], 1
@@ -150,7 +149,8 @@ def _street(before: list[str], after: list[str]) -> tuple[str, str, str, int, in
         if used < len(run) and run[used] in _DIRECTIONS and not way:
             way, used = _DIRECTIONS[run[used]], used + 1
         return " ".join(run[k:end]), "en:" + _EN[run[end]], way, 0, used
-    return (run[k] if len(run) > k else ""), "", way, 0, min(len(run), k + 1)
+    used = len(run) - 1 if len(run) > k + 1 and run[-1] in _STATES else len(run)
+    return " ".join(run[k:used]), "", way, 0, used
 
 
 def _town(rest: list[str]) -> str:
@@ -202,6 +202,7 @@ def alike(a: str, b: str) -> bool:
 
 
 _FORM = "house string, name string, kind string, way string, zip string, town string"
+_READ = f"{_FORM}, marked string"
 
 
 def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,7 +212,7 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parts = read(value)
             if parts:
                 rows.append((value, *parts.values()))
-        yield pd.DataFrame(rows, columns=["value", "house", "name", "kind", "way", "zip", "town"])
+        yield pd.DataFrame(rows, columns=["value", "house", "name", "kind", "way", "zip", "town", "marked"])
 
 
 def entries(reports: DataFrame) -> DataFrame:
@@ -226,6 +227,25 @@ def entries(reports: DataFrame) -> DataFrame:
     )
 
 
+def _set_off(rows: DataFrame) -> DataFrame:
+    """Names that run on into the town are cut before it, by the towns that other entries name.
+
+    A name that some entry of the house number writes apart from its town stays
+    whole. A misspelt town counts if an entry of the house number has both parts alike.
+    """
+    runs_on = (F.col("marked") == "") & F.col("name").contains(" ")
+    tail = F.substring_index("name", " ", -1)
+    apart = rows.filter("marked <> ''")
+    runs = rows.filter(runs_on).select("house", "name").distinct().join(apart.select("house", "name").distinct(), ["house", "name"], "left_anti")
+    runs = cut(runs.withColumn("tail", tail).withColumn("front", F.expr("substring(name, 1, length(name) - length(tail) - 1)")))
+    known = runs.join(apart.filter("town <> '' AND zip <> ''").select(F.col("town").alias("tail")).distinct(), "tail", "left_semi").select("house", "name", "front", "tail")
+    others = apart.filter("town <> ''").select("house", F.col("name").alias("front_b"), F.col("town").alias("tail_b")).distinct()
+    misspelt = runs.join(known.select("house", "name"), ["house", "name"], "left_anti").join(others, "house").filter(alike_udf("front", "front_b") & alike_udf("tail", "tail_b"))
+    cuts = cut(known.unionByName(misspelt.select("house", "name", "front", "tail").distinct()))
+    out = rows.join(cuts, ["house", "name"], "left").withColumn("town", F.when(runs_on & F.col("tail").isNotNull(), F.col("tail")).otherwise(F.col("town")))
+    return out.withColumn("name", F.when(runs_on & F.col("front").isNotNull(), F.col("front")).otherwise(F.col("name"))).drop("front", "tail", "marked")
+
+
 def _usual_names(rows: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
     """(house, name, stands_for) and the links of names that are alike: a name stands for the most frequent of those it is alike to."""
     counts = cut(rows.groupBy("house", "name").agg(F.count("*").alias("n")))
@@ -310,8 +330,8 @@ def same_town(zip_a: pd.Series, zip_b: pd.Series, town_a: pd.Series, town_b: pd.
 def same_places(reports: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(value_id_a, value_id_b), value_id_a < value_id_b, of the entries that name the same building."""
     rows = entries(reports)
-    read_ = spread(rows.select("value").distinct()).mapInPandas(_read_batches, f"value string, {_FORM}")
-    rows = cut(rows.join(read_, "value"))
+    read_ = spread(rows.select("value").distinct()).mapInPandas(_read_batches, f"value string, {_READ}")
+    rows = cut(_set_off(cut(rows.join(read_, "value"))))
     usual_name, _ = _usual_names(rows, cosine)
     filled = cut(_filled(rows.join(usual_name, ["house", "name"])))
     known = (F.col("usual") != "") & (F.col("town") != "")

@@ -63,3 +63,8 @@ def test_parts_come_from_the_same_street_only(spark):
 def test_a_filled_code_does_not_outvote_a_town_and_an_unknown_place_is_compatible(spark):
     rows = [("h", "full_address", ["12 Oak St, Xaville", "12 Oak St, 10010 Yerton", "12 Oak St"], [0, 1, 2], "x", 1), ("k", "full_address", ["12 Oak St, 10020 Xaville"], [3], "x", 1)]
     assert {tuple(r) for r in A.same_places(spark.createDataFrame(rows, REPORT)).collect()} == {(0, 2), (0, 3), (1, 2), (2, 3)}
+
+
+def test_names_are_whole_and_towns_are_cut_off_them(spark):
+    values = ["16 rue des Fenoholley, 10465 Novofengrove", "16 rue des Fenoholley Novofengrove", "9 rue de la Porte Saint Martin, 10020 Xaville", "9 rue de la Porte Saint Denis, 10020 Xaville", "7 Oak Hill Ave, Xaville, OH 10020", "7 Oak Hill, Xaville, OH 10020"]
+    assert pairs(spark, values) == {(0, 1), (4, 5)}
