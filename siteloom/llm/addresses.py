@@ -12,8 +12,8 @@
    indexed that the cosine threshold requires. Candidates are verified by the
    cosine of the whole vectors and by edit distance. A misspelt name stands for the
    most frequent of the names it is alike to.
-4. Writings whose names stand for the same one are the same place if no part contradicts: street
-   type, direction, postal code and town; a part missing on one side does not,
+4. Writings whose names stand for the same one, or are alike themselves, are the same place if no
+   part contradicts: street type, direction, postal code and town; a part missing on one side does not,
    nor does a place of which an entry says nothing.
 
 The n-gram join runs over distinct (house number, street name) pairs and the
@@ -332,20 +332,29 @@ def same_places(reports: DataFrame, cosine: float = COSINE) -> DataFrame:
     rows = entries(reports)
     read_ = spread(rows.select("value").distinct()).mapInPandas(_read_batches, f"value string, {_READ}")
     rows = cut(_set_off(cut(rows.join(read_, "value"))))
-    usual_name, _ = _usual_names(rows, cosine)
+    usual_name, met = _usual_names(rows, cosine)
     filled = cut(_filled(rows.join(usual_name, ["house", "name"])))
     known = (F.col("usual") != "") & (F.col("town") != "")
     town = F.when(known & alike_udf("town", "usual"), F.col("usual")).otherwise(F.col("town"))
     parts = ["house", "stands_for", "kind", "way", "zip", "town", "usual"]
-    named = cut(filled.withColumn("town", town).select("value_id", *parts))
+    named = cut(filled.withColumn("town", town).select("value_id", "name", *parts))
+    own = _linked(named, parts, None)
+    # A name alike to one that stands for yet another is compared with it as written.
+    stands = lambda x: usual_name.select("house", F.col("name").alias(f"name_{x}"), F.col("stands_for").alias(f"stands_{x}"))
+    across = cut(met.join(stands("a"), ["house", "name_a"]).join(stands("b"), ["house", "name_b"]).filter("name_a < name_b AND stands_a <> stands_b").select("house", "name_a", "name_b"))
+    touched = across.select("house", F.explode(F.array("name_a", "name_b")).alias("name")).distinct()
+    return own.unionByName(_linked(named.join(touched, ["house", "name"], "left_semi"), [*parts, "name"], across))
+
+
+def _linked(named: DataFrame, parts: list[str], across: DataFrame | None) -> DataFrame:
+    """Pairs of entries no part of which contradicts: of names that stand for the same one, or of the names that ``across`` links."""
     forms = cut(named.groupBy(*parts).agg(F.min("value_id").alias("form")))
-    a = forms.select("house", "stands_for", *(F.col(c).alias(f"{c}_a") for c in [*parts[2:], "form"]))
-    b = forms.select("house", "stands_for", *(F.col(c).alias(f"{c}_b") for c in [*parts[2:], "form"]))
+    keys = ["house", "stands_for"] if across is None else ["house"]
+    a, b = (forms.select(*keys, *(F.col(c).alias(f"{c}_{x}") for c in [*parts, "form"] if c not in keys)) for x in "ab")
+    met = a.join(b, keys).filter(F.col("form_a") <= F.col("form_b")) if across is None else across.join(a, ["house", "name_a"]).join(b, ["house", "name_b"])
     free = lambda c: (F.col(f"{c}_a") == "") | (F.col(f"{c}_b") == "") | (F.col(f"{c}_a") == F.col(f"{c}_b"))
     links = (
-        a.join(b, ["house", "stands_for"])
-        .filter(F.col("form_a") <= F.col("form_b"))
-        .filter(free("kind") & free("way"))
+        met.filter(free("kind") & free("way"))
         .filter((F.col("form_a") == F.col("form_b")) | same_town("zip_a", "zip_b", "town_a", "town_b", "usual_a", "usual_b"))
         .select("form_a", "form_b")
     )

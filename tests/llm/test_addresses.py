@@ -68,3 +68,10 @@ def test_a_filled_code_does_not_outvote_a_town_and_an_unknown_place_is_compatibl
 def test_names_are_whole_and_towns_are_cut_off_them(spark):
     values = ["16 rue des Fenoholley, 10465 Novofengrove", "16 rue des Fenoholley Novofengrove", "9 rue de la Porte Saint Martin, 10020 Xaville", "9 rue de la Porte Saint Denis, 10020 Xaville", "7 Oak Hill Ave, Xaville, OH 10020", "7 Oak Hill, Xaville, OH 10020"]
     assert pairs(spark, values) == {(0, 1), (4, 5)}
+
+
+def test_names_alike_to_one_that_stands_for_another(spark):
+    t, a, b = "abcdefghij", "abcdefghxy", "abcdefvwxy"  # b is more frequent than a, t and b are not alike
+    assert A.alike(t, a) and A.alike(a, b) and not A.alike(t, b)
+    got = pairs(spark, [f"12 {n} St, Xaville, OH 10020" for n in (t, a, b, b)])
+    assert got == {(0, 1), (1, 2), (1, 3), (2, 3)}
