@@ -1,13 +1,16 @@
 """Problem 6: the body of a page apart from what surrounds it.
 
-The streaming parser of the standard library turns a page into lines of text with
-the tags and link text around them. Each line has a text-to-tag ratio; the ratios
-are smoothed with a Gaussian over the order of the lines, and a threshold that
-parts them into two clusters marks dense lines. A line takes part in its region,
-the innermost container that holds it (a badly closed page only nests regions
-deeper, it does not merge them). The regions that carry the dense text are the
-body, and every line of them is a body line: headings, lists, addresses and short
-messages in the main place come with it.
+The streaming parser of the standard library turns a page into lines of text, each
+with the tags since the text before it and the characters that are link text. Each
+line has a text-to-tag ratio: its text outside links by the number of its tags,
+where a tag that opens running text (a paragraph, a heading) does not count as
+markup but as a sign of text. The ratios are smoothed with a Gaussian over the
+order of the lines, and a threshold that parts the smoothed ratios into two
+clusters selects the dense lines. The regions (innermost containers; a badly closed
+page only nests them deeper, it does not merge them) are ranked by the ratios of
+their dense lines, and the best are the body. They mend what single ratios miss:
+headings, lists, addresses and short messages in the main place come with it. The
+names of elements such as nav or footer, classes and ids decide nothing.
 
 Blocks of text are then matched with the lines of their page. A block belongs to
 the surroundings if none of its lines is a body line.
@@ -32,19 +35,17 @@ from .base import spread
 
 SIGMA = 1.0
 #: A region is body too if it has so large a part of the best region's weight.
-REGION_PART = 0.35
-#: Regions with paragraphs or headings come before those without, unless these weigh so many times more.
-PROSE_FACTOR = 5.0
-#: Weight of one tag against one character of text in the ratio.
-TAG_CHARS = 1.0
+REGION_PART = 0.5
+#: Characters of text that a tag that opens running text counts as.
+OPENS_CHARS = 400.0
 
 _SKIP = frozenset(("script", "style", "title", "noscript", "template", "svg", "iframe", "canvas", "head", "select", "button"))
 _VOID = frozenset(("br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"))
 _REGION = frozenset(("body", "div", "td", "section", "article", "main", "aside", "nav", "header", "footer", "form", "dialog"))
 _LINE = _REGION | frozenset(("p", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "address", "pre", "blockquote", "dl", "dt", "dd", "br", "hr", "figure", "figcaption"))
 _PROSE = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "address", "blockquote", "pre"))
+_IMPLIED = frozenset(("li", "td", "tr", "dt", "dd"))
 _QUOTES = frozenset(("pre", "code", "samp", "kbd", "q", "textarea", "blockquote"))
-_AROUND = frozenset(("nav", "aside", "footer", "form", "dialog"))
 
 
 #: A start tag whose quotes are closed, and elements whose content the library reads in a way of its own.
@@ -53,16 +54,14 @@ _RAW = frozenset(("script", "style", "title", "textarea", "xmp", "iframe", "noem
 
 
 class _Lines(HTMLParser):
-    """Lines of one page: [region, parts, tags, link characters, prose element, parts within quoting elements]."""
+    """Lines of one page: [region, parts, tags, link characters, tags that open running text, parts within quoting elements]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
         self.regions: list[tuple[str, int]] = [("body", -1)]
         self.stack: list[tuple[str, int | None]] = []
-        self.skip = self.link = 0
-        self.prose: list[str] = []
-        self.quotes = 0
+        self.skip = self.link = self.quotes = self.tags = self.opens = 0
         self.region = 0
         self.open: list | None = None
 
@@ -93,12 +92,16 @@ class _Lines(HTMLParser):
             return
         if tag in _LINE:
             self.open = None
-        elif self.open is not None:
-            self.open[2] += 1
         if tag in _VOID:
+            self.tags += 1
             return
-        if tag in ("p", "li", "td", "tr", "dt", "dd") or tag in _PROSE:
+        if tag in _PROSE:
+            self.opens += 1
             self._close(tag, implied=True)
+        else:
+            self.tags += 1
+            if tag in _IMPLIED:
+                self._close(tag, implied=True)
         own = None
         if tag in _REGION and tag != "body":
             own = len(self.regions)
@@ -106,8 +109,6 @@ class _Lines(HTMLParser):
             self.region = own
         if tag == "a":
             self.link += 1
-        if tag in _PROSE:
-            self.prose.append(tag)
         if tag in _QUOTES:
             self.quotes += 1
         self.stack.append((tag, own))
@@ -121,8 +122,6 @@ class _Lines(HTMLParser):
                         self.region = max(0, self.regions[own][1])
                     if name == "a":
                         self.link = max(0, self.link - 1)
-                    elif name in _PROSE and self.prose:
-                        self.prose.pop()
                     elif name in _SKIP:
                         self.skip = max(0, self.skip - 1)
                     if name in _QUOTES:
@@ -135,8 +134,8 @@ class _Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in _LINE:
             self.open = None
-        elif self.open is not None:
-            self.open[2] += 1
+        if not self.skip and tag not in _PROSE:
+            self.tags += 1
         if tag in _VOID or tag in ("body", "html"):
             return
         self._close(tag)
@@ -150,9 +149,12 @@ class _Lines(HTMLParser):
             if not text:
                 continue
             if self.open is None or self.open[0] != self.region or (k and text):
-                self.open = [self.region, [], 1, 0, self.prose[-1] if self.prose else "", []]
+                self.open = [self.region, [], 1, 0, 0, []]
                 self.lines.append(self.open)
             self.open[1].append(text)
+            self.open[2] += self.tags
+            self.open[4] += self.opens
+            self.tags = self.opens = 0
             if self.link:
                 self.open[3] += len(text)
             if self.quotes:
@@ -170,13 +172,14 @@ def page_lines(html: str | None) -> tuple[list[list], list[tuple[str, int]]]:
     return parser.lines, parser.regions
 
 
+_RADIUS = int(3 * SIGMA)
+_KERNEL = np.exp(-0.5 * (np.arange(-_RADIUS, _RADIUS + 1) / SIGMA) ** 2)
+
+
 def _smooth(values: np.ndarray) -> np.ndarray:
     """Gaussian smoothing over the order of the lines."""
-    radius = int(3 * SIGMA)
-    weights = np.exp(-0.5 * (np.arange(-radius, radius + 1) / SIGMA) ** 2)
-    top = np.convolve(values, weights, mode="same") if len(values) > 2 * radius else np.array([np.dot(values[max(0, i - radius) : i + radius + 1], weights[max(0, radius - i) : radius - i + len(values)][: len(values[max(0, i - radius) : i + radius + 1])]) for i in range(len(values))])
-    norm = np.convolve(np.ones(len(values)), weights, mode="same") if len(values) > 2 * radius else np.array([weights[max(0, radius - i) : radius - i + len(values)][: len(values[max(0, i - radius) : i + radius + 1])].sum() for i in range(len(values))])
-    return top / norm
+    inner = slice(_RADIUS, _RADIUS + len(values))
+    return np.convolve(values, _KERNEL)[inner] / np.convolve(np.ones(len(values)), _KERNEL)[inner]
 
 
 def _threshold(values: np.ndarray) -> float:
@@ -194,37 +197,24 @@ def _threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def body_flags(lines: list[list], regions: list[tuple[str, int]]) -> list[bool]:
+def text_ratios(lines: list[list]) -> np.ndarray:
+    """Text-to-tag ratio of each line."""
+    return np.array([(max(0, sum(map(len, parts)) - link) + OPENS_CHARS * opens) / tags for _, parts, tags, link, opens, _ in lines])
+
+
+def body_flags(lines: list[list], regions: list[tuple[str, int]], ratios: np.ndarray | None = None) -> list[bool]:
     """Whether each line belongs to the body."""
     if not lines:
         return []
-    plain = np.array([max(0, sum(map(len, parts)) - link) for _, parts, _, link, *_ in lines], dtype=float)
-    tags = np.array([n for _, _, n, *_ in lines], dtype=float)
-    ratio = np.log1p(plain / (TAG_CHARS * tags))
-    smooth = _smooth(ratio)
+    ratios = text_ratios(lines) if ratios is None else ratios
+    smooth = _smooth(np.log1p(ratios))
     dense = smooth >= _threshold(smooth)
-    weight: dict[int, float] = {}
-    for k, (region, _, _, _, prose, _) in enumerate(lines):
-        chars = plain[k]
-        if prose:
-            chars = 2 * chars + 60
-        elif regions[region][0] in _AROUND:
-            chars *= 0.1
-        weight[region] = weight.get(region, 0.0) + chars * (1.0 if dense[k] else 0.5)
-    for region in weight:
-        at = region
-        while at > 0:
-            if regions[at][0] in _AROUND:
-                weight[region] *= 0.15
-                break
-            at = regions[at][1]
-    spoken = {line[0] for line in lines if line[4]}
-    prose = {r: w for r, w in weight.items() if r in spoken and w > 0}
-    if prose and PROSE_FACTOR * max(prose.values()) >= max(weight.values()):
-        weight = prose
-    best = max(weight.values())
-    chosen = {r for r, w in weight.items() if best > 0 and w >= REGION_PART * best}
-    return [line[0] in chosen for line in lines]
+    weight = [0.0] * len(regions)
+    for line, ratio, chosen in zip(lines, ratios.tolist(), dense.tolist()):
+        if chosen:
+            weight[line[0]] += ratio
+    least = REGION_PART * max(weight)
+    return [least > 0 and weight[line[0]] >= least for line in lines]
 
 
 def line_key(line: Column) -> Column:
