@@ -4,26 +4,26 @@
    type, direction, postal code and town. Units, floors, countries, business names
    in front and the state carry no identity and are left out.
 2. Parts that an entry lacks are filled in from other entries of the same site,
-   house number and street name (after 3) where those agree, and towns from the
-   postal codes they stand with.
-3. Street names become vectors of weighted character n-grams. Candidates come from
-   an inverted index keyed by house number and n-gram (so the house numbers are
-   compatible by construction), of which only the prefix of the rarest n-grams is
-   indexed that the cosine threshold requires. Candidates are verified by the
-   cosine of the whole vectors and by edit distance. A misspelt name stands for the
-   most frequent of the names it is alike to.
-4. Writings whose names stand for the same one, or are alike themselves, are the same place if no
-   part contradicts: street type, direction, postal code and town; a part missing on one side does not,
-   nor does a place of which an entry says nothing.
-
-The n-gram join runs over distinct (house number, street name) pairs and the
-comparison of parts over distinct readings in which misspelt names and towns are
-already replaced by the usual ones, so neither copies nor typing errors multiply
-before the last step, which lists the pairs of entries.
+   house number and street name where those agree, and towns from the postal codes
+   they stand with. Names that differ by typing errors within a site count as one there.
+3. What is left of a writing, in one spelling of its parts, becomes a vector of
+   weighted character n-grams of the whole address. Candidates come from an inverted
+   index keyed by house number, place and n-gram, of which only the prefix of the
+   rarest n-grams is indexed that the cosine threshold requires. House numbers are
+   compatible by construction; the place is the postal code, for an entry without one
+   each town that its town may be, and for one that names no place any.
+4. Candidates are verified by the cosine of the whole vectors, and then no part may
+   contradict: street names up to typing errors, street type, direction, postal code
+   and town; a part missing on one side does not, nor does a place of which an entry
+   says nothing.
+
+The index runs over distinct addresses, so neither copies nor a street that many
+towns have multiply before the last step, which lists the pairs of entries.
 
 Defined results: null arrays, null entries and entries without a house number or
 street give no pairs; arrays of unequal length are read up to the shorter one; an
-entry is never paired with itself; a value_id that is repeated counts once.
+entry is never paired with itself; a value_id that is repeated counts once; a single
+number of five digits is a house number where there is no other.
 """
 
 from __future__ import annotations
@@ -33,15 +33,15 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .base import cut, python_ready, spread
 
-#: Least cosine of two street names, and length of the n-grams.
-COSINE, GRAM = 0.3, 2
+#: Least cosine of two whole addresses, of two street names (or towns) that are looked at for typing errors, and length of the n-grams.
+COSINE, NAME_COSINE, GRAM = 0.4, 0.2, 2
 
 #: Street types and their writings (fixed values).
 _TYPES_EN = {
@@ -68,12 +68,14 @@ _STATES = frozenset(
 _TWO_WORD_STATE = re.compile(r"\b(?:new (?:york|jersey|mexico|hampshire)|(?:north|south) (?:carolina|dakota)|west virginia|rhode island)\b")
 _COUNTRY = re.compile(r"\b(?:u\.?s\.?a\.?|united states(?: of america)?|deutschland|germany|france|frankreich|allemagne|etats-unis)(?=$|[\s,;.\n-])")
 _UNIT = re.compile(
-    r"(?:#\s*[\w-]+|\b(?:ste|suite|unit|apt|apartment|room|rm|fl|floor|bldg|building|bat|batiment|app|appt|appartement|esc|wohnung|whg|top|hinterhaus|etage)\b\.?\s*(?:#|nr\.?\s*|no\.?\s*)?[\w-]*\d[\w-]*"
+    r"(?:#\s*[\w-]+|\b(?:ste|suite|unit|apt|apartment|room|rm|fl|floor|bldg|building|bat|batiment|app|appt|appartement|esc|wohnung|whg|top|hinterhaus|etage)\b\.?\s*(?:#|nr\.?\s*|no\.?\s*)?(?!\d{5}(?:-\d{4})?(?!\w))[\w-]*\d[\w-]*"
     r"|\b\d+\s*(?:\.|e|er|eme|st|nd|rd|th)?\s*(?:etage|og|ug|stock|floor|fl)\b\.?|\b(?:eg|erdgeschoss|rez-de-chaussee|rdc)\b)"
 )
 _NUMBER_MARK = re.compile(r"\b(?:no|nr|num|number|hausnummer)\b\.?\s*(?=\d)|n°\s*(?=\d)")
 _ZIP = re.compile(r"\b(?:[a-z]{1,2}-)?(\d{5})(?:-\d{4})?\b")
-_HOUSE = re.compile(r"\d{1,4}(?:\s?-\s?\d{1,4})?(?:[a-d]|bis|ter)?")
+_HOUSE = re.compile(r"\d{1,6}(?:\s?-\s?\d{1,6})?(?:[a-d]|bis|ter)?")
+_OTHER_NUMBER = re.compile(r"(?<![\w-])\d{1,4}(?:[a-d]|bis|ter)?(?![\w-])|\d{6}")
+_AFTER_TYPE = re.compile(r"(?:strasse|str|gasse|allee|platz|weg|ring|damm|ufer|steig|pfad|markt)\.?\s*$")
 
 
 def fold(text: str) -> str:
@@ -95,9 +97,13 @@ def read(value: str | None) -> dict[str, str] | None:
     text = _UNIT.sub(" | ", text)
     text = _NUMBER_MARK.sub("", text)
     zips = list(_ZIP.finditer(text))
+    if len(zips) == 1 and not _OTHER_NUMBER.search(text[: zips[0].start()] + " " + text[zips[0].end() :]):
+        zips = []
     code = ""
     if zips:
-        mark = zips[-1] if len(zips) == 1 or not re.match(r"\s*\d", text[zips[-1].end() :]) else zips[0]
+        mark = zips[-1]
+        if len(zips) > 1 and (re.match(r"\s*\d", text[mark.end() :]) or _AFTER_TYPE.search(text[: mark.start()])):
+            mark = zips[0]
         code = mark[1]
         text = f"{text[: mark.start()]} ~ {text[mark.end() :]}"
     text = re.sub(r"(?<=[a-z]{3})g\.(?=[\s,;]|$)", "gasse", text)
@@ -143,8 +149,10 @@ def _street(before: list[str], after: list[str]) -> tuple[str, str, str, int, in
     way, k = "", 0
     if len(run) > 1 and run[0] in _DIRECTIONS and run[1] not in _EN:
         way, k = _DIRECTIONS[run[0]], 1
-    end = next((j for j in range(k + 1, min(len(run), k + 5)) if run[j] in _EN), None)
+    end = next((j for j in range(k + 1, len(run)) if run[j] in _EN), None)
     if end is not None:
+        while end + 1 < len(run) and run[end + 1] in _EN:
+            end += 1
         used = end + 1
         if used < len(run) and run[used] in _DIRECTIONS and not way:
             way, used = _DIRECTIONS[run[used]], used + 1
@@ -197,8 +205,9 @@ def edits(a: str, b: str, most: int = 3) -> int:
 
 
 def alike(a: str, b: str) -> bool:
-    """Whether two names differ by typing errors at most: one in short names, one for each side in longer ones."""
-    return edits(a, b) <= (1 if min(len(a), len(b)) < 6 else 2)
+    """Whether two names differ by typing errors at most: none in names of less than five letters, where one letter makes another name, one in short names, one for each side in longer ones."""
+    shorter = min(len(a), len(b))
+    return a == b or shorter > 4 and edits(a, b) <= (1 if shorter < 6 else 2)
 
 
 _FORM = "house string, name string, kind string, way string, zip string, town string"
@@ -246,12 +255,14 @@ def _set_off(rows: DataFrame) -> DataFrame:
     return out.withColumn("name", F.when(runs_on & F.col("front").isNotNull(), F.col("front")).otherwise(F.col("name"))).drop("front", "tail", "marked")
 
 
-def _usual_names(rows: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
-    """(house, name, stands_for) and the links of names that are alike: a name stands for the most frequent of those it is alike to."""
-    counts = cut(rows.groupBy("house", "name").agg(F.count("*").alias("n")))
-    met = cut(similar_names(counts.select("house", "name"), cosine))
+def _usual_names(rows: DataFrame) -> DataFrame:
+    """(site, house, name, stands_for): within a site a name stands for the most frequent of those it is alike to."""
+    key = F.concat_ws("\x01", F.coalesce("site", F.lit("")), "house")
+    counts = cut(rows.groupBy("site", "house", "name").agg(F.count("*").alias("n")).withColumn("group", key))
+    met = similar_names(counts.select("group", "name"))
     best = F.max_by("name_b", F.struct(F.col("n"), F.col("name_b"))).alias("stands_for")
-    return met.join(counts.withColumnRenamed("name", "name_b"), ["house", "name_b"]).groupBy("house", F.col("name_a").alias("name")).agg(best), met
+    usual = met.join(counts.select("group", F.col("name").alias("name_b"), "n"), ["group", "name_b"]).groupBy("group", F.col("name_a").alias("name")).agg(best)
+    return counts.join(usual, ["group", "name"]).select("site", "house", "name", "stands_for")
 
 
 @F.pandas_udf(T.BooleanType())
@@ -279,33 +290,49 @@ def _filled(rows: DataFrame) -> DataFrame:
     return out.join(usual, "zip", "left").select("value_id", "stands_for", *(x.split()[0] for x in _FORM.split(", ")), F.coalesce("usual", F.lit("")).alias("usual"))
 
 
-def similar_names(names: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """(house, name_a, name_b) of the street names that are alike at one house number, each name with itself as well.
+def _grams(text: Column) -> Column:
+    """Distinct n-grams of the words of a text, each with its borders."""
+    word = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + (3 - GRAM)), lambda i: F.substring(F.concat(F.lit("^"), w, F.lit("$")), i, F.lit(GRAM)))
+    return F.array_distinct(F.flatten(F.transform(F.filter(F.split(text, " "), lambda w: w != ""), word)))
 
-    Prefix filter: with the n-grams of a name ordered from rare to common, two
-    names of a cosine of at least ``cosine`` share one of the n-grams after whose
-    removal the rest weighs less than ``cosine`` of the whole.
+
+def _vectors(rows: DataFrame, key: str, text: str, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """(key, gram) of the prefixes to index, and (key, v) of the unit vectors of weighted n-grams.
+
+    Prefix filter: with the n-grams of a text ordered from rare to common, two texts
+    of a cosine of at least ``cosine`` share one of the n-grams after whose removal
+    the rest weighs less than ``cosine`` of the whole.
     """
-    spark = names.sparkSession
-    python_ready(spark)
-    padded = F.concat(F.lit("^"), F.regexp_replace("name", " ", ""), F.lit("$"))
-    grams = names.select("house", "name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (GRAM - 1), F.lit(1))), lambda i: F.substring(padded, i, F.lit(GRAM))))).alias("gram"))
-    total = names.count()
+    grams = rows.select(key, F.explode(_grams(F.col(text))).alias("gram"))
+    total = rows.count()
     weights = grams.groupBy("gram").agg(F.count("*").alias("df")).select("gram", "df", F.log(F.lit(float(total + 1)) / F.col("df") + 1).alias("w"))
     weighed = cut(grams.join(weights, "gram"))
-    order = W.partitionBy("house", "name").orderBy("df", "gram")
-    whole = W.partitionBy("house", "name")
-    ranked = weighed.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(whole))).withColumn("before", F.sum(F.col("w") * F.col("w")).over(order) - F.col("w") * F.col("w"))
-    prefix = ranked.filter(F.sqrt(F.greatest(F.col("norm") * F.col("norm") - F.col("before"), F.lit(0.0))) >= F.col("norm") * cosine)
-    a, b = (prefix.select("house", "gram", F.col("name").alias(f"name_{x}")) for x in "ab")
-    pairs = a.join(b, ["house", "gram"]).filter(F.col("name_a") < F.col("name_b")).select("house", "name_a", "name_b").distinct()
-    vectors = ranked.groupBy("house", "name").agg(F.map_from_entries(F.collect_list(F.struct("gram", F.col("w") / F.col("norm")))).alias("v"))
-    va, vb = (vectors.select("house", F.col("name").alias(f"name_{x}"), F.col("v").alias(f"v{x}")) for x in "ab")
-    dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
-    near = pairs.join(va, ["house", "name_a"]).join(vb, ["house", "name_b"]).filter(dot >= cosine).select("house", "name_a", "name_b")
+    whole = W.partitionBy(key)
+    square = F.col("w") * F.col("w")
+    before = F.sum(square).over(whole.orderBy("df", "gram").rowsBetween(W.unboundedPreceding, 0)) - square
+    ranked = weighed.select(key, "gram", "w", F.sum(square).over(whole).alias("all"), before.alias("before"))
+    prefix = ranked.filter(F.col("all") - F.col("before") >= F.col("all") * cosine * cosine * (1 - 1e-9)).select(key, "gram")
+    vectors = ranked.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("gram", F.col("w") / F.sqrt("all")))).alias("v"))
+    return prefix, vectors
+
+
+def _cosine(a: str, b: str) -> Column:
+    return F.aggregate(F.map_entries(a), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(F.col(b), e["key"]), F.lit(0.0)))
+
+
+def similar_names(names: DataFrame, cosine: float = NAME_COSINE) -> DataFrame:
+    """(group, name_a, name_b) of the names of one group that are alike, each name with itself as well."""
+    python_ready(names.sparkSession)
+    distinct = names.select("name").distinct()
+    prefix, vectors = _vectors(distinct, "name", "name", cosine)
+    index = cut(names.join(prefix, "name"))
+    a, b = (index.select("group", "gram", F.col("name").alias(f"name_{x}")) for x in "ab")
+    pairs = a.join(b, ["group", "gram"]).filter(F.col("name_a") < F.col("name_b")).select("group", "name_a", "name_b").distinct()
+    va, vb = (vectors.select(F.col("name").alias(f"name_{x}"), F.col("v").alias(f"v{x}")) for x in "ab")
+    near = pairs.join(va, "name_a").join(vb, "name_b").filter(_cosine("va", "vb") >= cosine).select("group", "name_a", "name_b")
     close = near.filter(alike_udf("name_a", "name_b"))
-    own = names.select("house", F.col("name").alias("name_a"), F.col("name").alias("name_b"))
-    return close.unionByName(close.select("house", F.col("name_b").alias("name_a"), F.col("name_a").alias("name_b"))).unionByName(own)
+    own = names.select("group", F.col("name").alias("name_a"), F.col("name").alias("name_b"))
+    return cut(close.unionByName(close.select("group", F.col("name_b").alias("name_a"), F.col("name_a").alias("name_b"))).unionByName(own))
 
 
 @F.pandas_udf(T.BooleanType())
@@ -327,43 +354,70 @@ def same_town(zip_a: pd.Series, zip_b: pd.Series, town_a: pd.Series, town_b: pd.
     return pd.Series([one(*x) for x in zip(zip_a, zip_b, town_a, town_b, usual_a, usual_b)], dtype=bool)
 
 
+_FORM_PARTS = ["house", "stands_for", "name", "kind", "way", "zip", "town", "usual"]
+
+
+def _blocks(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(form, block) of the asking and of the answering side of the index: where two addresses can be one place.
+
+    Of two addresses with postal codes only those of one code meet. An address
+    without one asks for every town that its own may be a misspelling of; one that
+    names no place asks for all.
+    """
+    code = F.col("zip") != ""
+    towns = F.filter(F.array_distinct(F.array("town", "usual")), lambda t: t != "")
+    placed = forms.select("form", "zip", F.explode(towns).alias("town"))
+    distinct = placed.select(F.lit("").alias("group"), F.col("town").alias("name")).distinct()
+    spelt = similar_names(distinct).select(F.col("name_a").alias("town"), F.col("name_b").alias("other"))
+    by_code = forms.filter(code).select("form", F.concat(F.lit("z"), "zip").alias("block"))
+    by_town = placed.select("form", F.concat(F.lit("t"), "town").alias("block"))
+    asked = placed.filter(~code).join(spelt, "town").select("form", F.concat(F.lit("t"), "other").alias("block"))
+    nowhere = forms.filter(~code & (F.col("town") == "") & (F.col("usual") == "")).select("form", F.lit("").alias("block"))
+    anywhere = forms.select("form", F.lit("").alias("block"))
+    answering = by_code.unionByName(by_town)
+    if nowhere.limit(1).count():
+        answering = answering.unionByName(anywhere)
+    return by_code.unionByName(asked).unionByName(nowhere).distinct(), answering.distinct()
+
+
+def address_links(forms: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """(form_a, form_b), form_a < form_b, of the distinct addresses whose vectors are near and no part of which contradicts."""
+    street = F.concat_ws(" ", "stands_for", F.when(F.col("kind") != "", F.concat(F.lit("~"), F.substring_index("kind", ":", -1))), F.when(F.col("way") != "", F.concat(F.lit("+"), "way")))
+    whole = F.concat_ws(" ", street, "zip", F.coalesce(F.nullif("usual", F.lit("")), "town"))
+    asking, answering = _blocks(forms)
+    # Under the block that stands for any place, addresses are compared without their place.
+    texts = forms.select("form", "house", F.explode(F.array(F.struct(F.lit(True).alias("placed"), whole.alias("text")), F.struct(F.lit(False).alias("placed"), street.alias("text")))).alias("t"))
+    texts = texts.select((F.col("form") * 2 + F.col("t.placed").cast("long")).alias("key"), "form", "house", "t.*")
+    prefix, vectors = _vectors(texts, "key", "text", cosine)
+    vectors = cut(vectors)
+    keyed = cut(texts.select("key", "form", "house", "placed").join(prefix, "key"))
+    side = lambda blocks, name: keyed.join(blocks.withColumn("placed", F.col("block") != ""), ["form", "placed"]).select(F.col("key").alias(name), F.col("form").alias(f"f{name}"), "house", "block", "gram")
+    met = side(asking, "x").join(side(answering, "y"), ["house", "block", "gram"]).filter("fx <> fy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    va, vb = (vectors.select(F.col("key").alias(x), F.col("v").alias(f"v{x}")) for x in "ab")
+    near = met.join(va, "a").join(vb, "b").filter(_cosine("va", "vb") >= cosine).select(F.expr("a div 2").alias("form_a"), F.expr("b div 2").alias("form_b")).distinct()
+    pa, pb = (forms.select(*(F.col(c).alias(f"{c}_{x}") for c in ["form", *_FORM_PARTS])) for x in "ab")
+    free = lambda c: (F.col(f"{c}_a") == "") | (F.col(f"{c}_b") == "") | (F.col(f"{c}_a") == F.col(f"{c}_b"))
+    compared = near.join(pa, "form_a").join(pb, "form_b").filter(free("kind") & free("way"))
+    named = (F.col("stands_for_a") == F.col("stands_for_b")) | alike_udf("name_a", "name_b") | alike_udf("stands_for_a", "stands_for_b")
+    return compared.filter(named & same_town("zip_a", "zip_b", "town_a", "town_b", "usual_a", "usual_b")).select("form_a", "form_b")
+
+
 def same_places(reports: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(value_id_a, value_id_b), value_id_a < value_id_b, of the entries that name the same building."""
     rows = entries(reports)
     read_ = spread(rows.select("value").distinct()).mapInPandas(_read_batches, f"value string, {_READ}")
-    rows = cut(_set_off(cut(rows.join(read_, "value"))))
-    usual_name, met = _usual_names(rows, cosine)
-    filled = cut(_filled(rows.join(usual_name, ["house", "name"])))
+    rows = cut(_set_off(cut(rows.join(read_, "value"))).withColumn("site", F.coalesce("site", F.lit(""))))
+    filled = cut(_filled(rows.join(_usual_names(rows), ["site", "house", "name"])))
     known = (F.col("usual") != "") & (F.col("town") != "")
     town = F.when(known & alike_udf("town", "usual"), F.col("usual")).otherwise(F.col("town"))
-    parts = ["house", "stands_for", "kind", "way", "zip", "town", "usual"]
-    named = cut(filled.withColumn("town", town).select("value_id", "name", *parts))
-    own = _linked(named, parts, None)
-    # A name alike to one that stands for yet another is compared with it as written.
-    stands = lambda x: usual_name.select("house", F.col("name").alias(f"name_{x}"), F.col("stands_for").alias(f"stands_{x}"))
-    across = cut(met.join(stands("a"), ["house", "name_a"]).join(stands("b"), ["house", "name_b"]).filter("name_a < name_b AND stands_a <> stands_b").select("house", "name_a", "name_b"))
-    touched = across.select("house", F.explode(F.array("name_a", "name_b")).alias("name")).distinct()
-    return own.unionByName(_linked(named.join(touched, ["house", "name"], "left_semi"), [*parts, "name"], across))
-
-
-def _linked(named: DataFrame, parts: list[str], across: DataFrame | None) -> DataFrame:
-    """Pairs of entries no part of which contradicts: of names that stand for the same one, or of the names that ``across`` links."""
-    forms = cut(named.groupBy(*parts).agg(F.min("value_id").alias("form")))
-    keys = ["house", "stands_for"] if across is None else ["house"]
-    a, b = (forms.select(*keys, *(F.col(c).alias(f"{c}_{x}") for c in [*parts, "form"] if c not in keys)) for x in "ab")
-    met = a.join(b, keys).filter(F.col("form_a") <= F.col("form_b")) if across is None else across.join(a, ["house", "name_a"]).join(b, ["house", "name_b"])
-    free = lambda c: (F.col(f"{c}_a") == "") | (F.col(f"{c}_b") == "") | (F.col(f"{c}_a") == F.col(f"{c}_b"))
-    links = (
-        met.filter(free("kind") & free("way"))
-        .filter((F.col("form_a") == F.col("form_b")) | same_town("zip_a", "zip_b", "town_a", "town_b", "usual_a", "usual_b"))
-        .select("form_a", "form_b")
-    )
-    of = cut(named.join(forms, parts).select("value_id", "form"))
+    named = cut(filled.withColumn("town", town).select("value_id", *_FORM_PARTS))
+    forms = cut(named.groupBy(*_FORM_PARTS).agg(F.min("value_id").alias("form")))
+    links = cut(address_links(forms, cosine).unionByName(forms.select(F.col("form").alias("form_a"), F.col("form").alias("form_b"))))
+    of = cut(named.join(forms, _FORM_PARTS).select("value_id", "form"))
     left = of.select(F.col("form").alias("form_a"), F.col("value_id").alias("x"))
     right = of.select(F.col("form").alias("form_b"), F.col("value_id").alias("y"))
     return (
-        cut(links)
-        .join(left, "form_a")
+        links.join(left, "form_a")
         .join(right, "form_b")
         .filter(F.when(F.col("form_a") == F.col("form_b"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y")))
         .select(F.least("x", "y").alias("value_id_a"), F.greatest("x", "y").alias("value_id_b"))
