@@ -117,62 +117,90 @@ def visible_text(root: Node) -> str:
     return _WHITE.sub(" ", " ".join(root.strings(INVISIBLE))).strip()
 
 
+_STRAY_COMMA = re.compile(r",(?=\s*[\]}])")
+
+
+def _loaded(text: str) -> object | None:
+    """The value of a linked-data script, stray commas aside; None if it is broken."""
+    for mend in (False, True):
+        try:
+            return json.loads(_STRAY_COMMA.sub("", text) if mend else text)
+        except ValueError:
+            pass
+    return None
+
+
 def json_ld(root: Node) -> list:
-    """The items of all linked-data scripts; a script with stray commas is mended once, a broken one left out."""
+    """The items of all linked-data scripts: lists and graphs give theirs, anything else is one item."""
     items: list = []
     for node in root.walk():
-        if node.tag == "script" and "ld+json" in node.attrs.get("type", "").lower():
-            raw = "".join(k for k in node.kids if isinstance(k, str)).strip()
-            for text in (raw, re.sub(r",(\s*[}\]])", r"\1", raw)):
-                try:
-                    found = json.loads(text)
-                except ValueError:
-                    continue
-                graph = found.get("@graph") if isinstance(found, dict) else found
-                items += graph if isinstance(graph, list) else [found]
-                break
+        if node.tag != "script" or "ld+json" not in node.attrs.get("type", "").lower():
+            continue
+        value = _loaded("".join(filter(lambda k: isinstance(k, str), node.kids)).strip())
+        inner = value["@graph"] if isinstance(value, dict) and isinstance(value.get("@graph"), list) else value
+        if isinstance(inner, list):
+            items.extend(inner)
+        elif inner is not None:
+            items.append(inner)
     return items
 
 
 def schema_types(item: object) -> list[str]:
-    kind = item.get("@type") if isinstance(item, dict) else None
-    return [str(k) for k in kind] if isinstance(kind, list) else [str(kind)] if kind else []
+    """The types an item names, as strings."""
+    named = item.get("@type", []) if isinstance(item, dict) else []
+    return [str(t) for t in (named if isinstance(named, list) else [named]) if t]
+
+
+#: Parts of a linked address in the order of writing, and the fields that they fill (fixed values; a country fills none).
+_ADDRESS_PARTS = {"streetAddress": "street_address", "addressLocality": "city", "addressRegion": "region", "postalCode": "postal_code", "addressCountry": None}
 
 
 def _plain(value: object) -> str:
     """The text of a linked-data value: its name, its @value, or itself."""
     if isinstance(value, dict):
-        return str(value.get("name", value.get("@value", "")) or "")
-    return str(value or "").strip()
+        value = value.get("name", value.get("@value"))
+    return str(value).strip() if value else ""
+
 
+def _each(value: object) -> list:
+    return [] if value is None else value if isinstance(value, list) else [value]
 
-def _listed(value: object) -> list:
-    return value if isinstance(value, list) else [] if value is None else [value]
+
+def _address_fields(address: object) -> Iterator[tuple[str, str]]:
+    if not isinstance(address, dict):
+        yield "full_address", _plain(address)
+        return
+    texts = {part: _plain(address.get(part)) for part in _ADDRESS_PARTS}
+    yield from ((field, texts[part]) for part, field in _ADDRESS_PARTS.items() if field)
+    yield "full_address", ", ".join(filter(None, texts.values()))
+
+
+def _own_fields(item: dict) -> Iterator[tuple[str, str]]:
+    """(field, value) that an item states of itself."""
+    known = any(t.lower() in NAP_TYPES for t in schema_types(item))
+    if not (known or item.keys() & {"telephone", "address"}):
+        return
+    yield "business_name", _plain(item.get("name"))
+    yield from (("phone", _plain(number)) for number in _each(item.get("telephone") or item.get("phone")))
+    for address in _each(item.get("address")):
+        yield from _address_fields(address)
+
+
+def _descend(value: object) -> Iterator[dict]:
+    """The objects within a linked-data value, itself first, in document order."""
+    stack = [value]
+    while stack:
+        value = stack.pop()
+        if isinstance(value, dict):
+            yield value
+            stack += [v for k, v in reversed(value.items()) if k[:1] != "@"]
+        elif isinstance(value, list):
+            stack += reversed(value)
 
 
 def linked_nap(item: object) -> list[tuple[str, str]]:
     """(field, value) of names, phones and addresses in a linked-data item, at any depth."""
-    found: list[tuple[str, str]] = []
-    todo = [item]
-    while todo:
-        item = todo.pop(0)
-        if isinstance(item, list):
-            todo = item + todo
-            continue
-        if not isinstance(item, dict):
-            continue
-        if {t.lower() for t in schema_types(item)} & set(NAP_TYPES) or "telephone" in item or "address" in item:
-            found.append(("business_name", _plain(item.get("name"))))
-            found += [("phone", _plain(p)) for p in _listed(item.get("telephone") or item.get("phone"))]
-            for address in _listed(item.get("address")):
-                if isinstance(address, dict):
-                    parts = [_plain(address.get(k)) for k in ("streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry")]
-                    found += zip(("street_address", "city", "region", "postal_code"), parts)
-                    found.append(("full_address", ", ".join(p for p in parts if p)))
-                else:
-                    found.append(("full_address", _plain(address)))
-        todo = [v for k, v in item.items() if not k.startswith("@") and isinstance(v, (dict, list))] + todo
-    return [(field, value) for field, value in found if value]
+    return [pair for found in _descend(item) for pair in _own_fields(found) if pair[1]]
 
 
 def _microdata(root: Node) -> list[tuple[str, str]]:

@@ -68,7 +68,7 @@ PLACE_TERMS = ("address", "located", "location", "where", "street", "directions"
 TIME = r"\b(?:[01]?\d|2[0-3])(?::[0-5]\d)?\s*(?:[ap]\.?m\.?)\b|\b24\s*(?:hours|hrs)\b"
 NUMBER_THEN_WORD = r"\b\d{1,6}\s+[A-Za-z]"
 CHROME_PHRASES = r"skip to (?:content|main)|cookies are disabled|login / register"
-CHUNK_CHARS, BLOCK_CHARS = 420, 50
+CHUNK_CHARS, BLOCK_CHARS, OUTLINE_CHARS = 420, 50, 200
 BM25_K1, BM25_B, HOUR_BOOST, PLACE_BOOST, RRF_CONSTANT = 1.5, 0.75, 4.0, 2.5, 60
 LEXICAL_K, VECTOR_K, FUSED_K, SEARCH_K, LISTED_URLS = 12, 8, 8, 4, 40
 ABSTAIN_NO_TERMS, ABSTAIN_LEXICAL, ABSTAIN_WEAK, NULL_PICK_COVERAGE = 1.5, 2.0, 0.35, 0.45

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import urls
 from ..functions.html import features
+from ..functions.lexicon import OUTLINE_CHARS
 from ..operators import audit, crawl, nap, retrieval
 from ..session import dealt
 from ..sources import robots
@@ -61,7 +62,7 @@ def page_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(_archive(spark, sf_dir)).select("page_id", F.posexplode("headings").alias("idx", "h")).select("page_id", F.col("idx").cast(long), F.col("h.level").cast(long).alias("level"), F.col("h.text").alias("text"))
+    return features(_archive(spark, sf_dir)).select("page_id", F.posexplode("headings").alias("idx", "h")).select("page_id", F.col("idx").cast(long), F.col("h.level").cast(long).alias("level"), F.substring("h.text", 1, OUTLINE_CHARS).alias("text"))
 
 
 def schema_types(spark: SparkSession, sf_dir: str) -> DataFrame:

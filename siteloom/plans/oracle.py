@@ -231,7 +231,7 @@ SQL: dict[str, str] = {
     "internal_links": f"WITH {_PAGES.strip()}, {_LINKS.strip()}, n AS (SELECT page_id, count(*) AS n FROM links WHERE {_host('target')} = {_host('page')} GROUP BY 1) SELECT page_id, coalesce(n, 0) AS n_internal FROM pages LEFT JOIN n USING (page_id) WHERE html <> ''",
     "page_text": f"WITH {_PAGES.strip()}, {_VISIBLE.strip()} SELECT page_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9'']+')) AS BIGINT) AS n_words, md5(regexp_replace(text, '{_W}+', '', 'g')) AS text_md5 FROM shown",
     "page_head": f"WITH {_PAGES.strip()} SELECT page_id, {_TITLE} AS title, nullif(regexp_extract(html, '(?i)<html[^>]* lang=\"([^\"]*)\"', 1), '') AS lang, nullif(regexp_extract(html, '(?i)<meta charset=\"([^\"]*)\"', 1), '') AS charset FROM pages WHERE html <> ''",
-    "headings": f"WITH {_PAGES.strip()}, h AS (SELECT page_id, unnest({_H1}) AS t, generate_subscripts({_H1}, 1) AS i FROM pages WHERE html <> '') SELECT page_id, CAST(i - 1 AS BIGINT) AS idx, CAST(1 AS BIGINT) AS level, trim({_numbered(_decoded('t'))}) AS text FROM h",
+    "headings": f"WITH {_PAGES.strip()}, h AS (SELECT page_id, unnest({_H1}) AS t, generate_subscripts({_H1}, 1) AS i FROM pages WHERE html <> '') SELECT page_id, CAST(i - 1 AS BIGINT) AS idx, CAST(1 AS BIGINT) AS level, substr(trim({_numbered(_decoded('t'))}), 1, 200) AS text FROM h",
     "schema_types": f"WITH {_PAGES.strip()} SELECT page_id, CAST(len(regexp_extract_all(html, 'application/ld\\+json')) AS BIGINT) AS n_json_ld, lower(regexp_extract(html, '\"@type\":\"([^\"]*)\"', 1)) AS types FROM pages WHERE html <> ''",
     "audit_page_rules": f"WITH {_AUDITED.strip()}, {_RULES.strip()} SELECT page_id, metric, severity FROM rules",
     "audit_duplicates": f"WITH {_AUDITED.strip()}, {_DUPLICATES.strip()} SELECT site, metric, page, evidence FROM dups",

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.lexicon import SITEMAP_PATHS
 from ..functions.urls import normalized
 
 AGENT = "siteloom-audit/1.0"
@@ -49,23 +48,39 @@ def sitemap_hints(body: Column) -> Column:
 
 
 def sitemap_entries(xml: str | None, base: str) -> tuple[list[str], list[str]]:
-    """(page addresses, addresses of further sitemaps); broken XML has none."""
+    """(page addresses, addresses of further sitemaps); broken XML has none.
+
+    One pass over the parser's events: the closing of a ``loc`` files its text under
+    the element that is open around it. The kind of the document and what was filed
+    then decide: an index lists sitemaps, anything else pages, and a document that
+    files no page under ``url`` gives whatever locations it has.
+    """
+    filed: dict[str, list[str]] = {"sitemap": [], "url": [], "": []}
+    open_: list[str] = []
+    document = ""
+    parser = ET.XMLPullParser(("start", "end"))
     try:
-        root = ET.fromstring(xml or "")
+        parser.feed(xml or "")
+        parser.close()
+        for event, element in parser.read_events():
+            name = element.tag.split("}")[-1].lower() if isinstance(element.tag, str) else ""
+            if event == "start":
+                document = document or name
+                open_.append(name)
+                continue
+            open_.pop()
+            if name == "loc" and element.text and element.text.strip():
+                address = normalized(element.text.strip(), base)
+                around = open_[-1] if open_ else ""
+                if around in ("sitemap", "url") and (len(open_) == 2):
+                    filed[around].append(address)
+                filed[""].append(address)
     except ET.ParseError:
         return [], []
-    kind = lambda e: e.tag.rpartition("}")[2].lower() if isinstance(e.tag, str) else ""
-
-    def located(entry: ET.Element) -> str | None:
-        loc = next((e for e in [*entry, entry] if kind(e) == "loc" and e.text), None)
-        return normalized(loc.text.strip(), base) if loc is not None else None
-
-    if kind(root) == "sitemapindex":
-        return [], [u for u in (located(e) for e in root if kind(e) == "sitemap") if u]
-    pages = [u for u in (located(e) for e in root if kind(e) == "url") if u]
-    if not pages:
-        pages = [u for u in (normalized(e.text.strip(), base) for e in root.iter() if kind(e) == "loc" and e.text) if u]
-    return pages, []
+    kept = {kind: [a for a in found if a] for kind, found in filed.items()}
+    if document == "sitemapindex":
+        return [], kept["sitemap"]
+    return kept["url"] or kept[""], []
 
 
 def _entry_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,7 +118,3 @@ def sitemap_pages(seeds: DataFrame, edges: DataFrame, limit: int, depth: int = 5
     firsts = found.groupBy("site", "target").agg(F.min(F.struct("place", "entry_idx")).alias("first"))
     order = W.partitionBy("site").orderBy("first")
     return firsts.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit).select("site", "target", (F.col("n") - 1).cast("int").alias("idx"))
-
-
-def conventional_sitemaps(origin: str) -> list[str]:
-    return [origin + p for p in SITEMAP_PATHS]
