@@ -9,12 +9,16 @@ Latent semantic retrieval:
    the items' vocabulary that no leak can be lost here.
 2. Windows over these stretches and over the items become TF-IDF vectors over the
    items' vocabulary. A distributed randomised SVD (random range finder with a
-   power step; each task adds up its own part) gives the latent space. Vocabulary
-   and rank bound what reaches the driver, not the corpus.
+   power step) gives the latent space: each task multiplies its own windows and the
+   partial products are summed on the executors, one block of vocabulary rows a
+   task. Vocabulary and rank bound what reaches the driver, not the corpus.
 3. Each window of a notebook takes every window of an item whose cosine in the
    latent space reaches ``COSINE`` as a candidate.
-4. Candidates are checked by the longest common subsequence of words: runs of equal
-   words are chained while at most one word in eight is replaced, misspelt or added.
+4. Candidates are checked by a longest common subsequence of bounded width: the
+   alignments of the two texts that reach furthest with each number of changed words,
+   of which at most one in eight may be replaced, misspelt or added. A text that is only
+   alike is told by what was changed: words side by side that take in every name and
+   number of the run.
 
 Items that share a text are one text in the search and each of them a case in the
 result. Defined results: null and empty texts, contexts and questions, and item
@@ -37,29 +41,40 @@ from pyspark.sql import functions as F
 from .base import cut, spread
 
 LEAST, ONE_IN = 15, 8
-LEAST_BESIDE = 20
 #: Words in a window and words between the starts of two windows.
 WINDOW, STEP = 20, 5
 RANK, OVERSAMPLE, SEED = 160, 16, 7
 COSINE = 0.55
-#: Tasks of the SVD, each of which sends one partial sum; as many at every size of the corpus.
-PARTIALS = 6
+#: Blocks of vocabulary rows in which partial products are summed, each by one task.
+ROW_BLOCKS = 24
 
 _ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\[nrtfbv\"'`/\\]")
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>|<!--.{0,300}?-->", re.S)
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<!--[^<>]*-->")
 _ENTITY = re.compile(r"&#?\w{1,10};")
 _WORD = re.compile(r"[^\W_]+")
 
 
-def words(text: str) -> list[str]:
-    """Words in lower case without escapes, entities and markup."""
+def _bare(text: str) -> str:
+    """A text without escapes, entities and markup."""
     if "\\" in text:
         text = _ESCAPED.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else " ", text)
     if "&" in text:
         text = _ENTITY.sub(lambda m: unescape(m[0]), text)
-    if "<" in text:
-        text = _TAG.sub(" ", text)
-    return _WORD.findall(text.lower())
+    return _TAG.sub(" ", text) if "<" in text else text
+
+
+def words(text: str) -> list[str]:
+    """Words in lower case without escapes, entities and markup."""
+    return _WORD.findall(_bare(text).lower())
+
+
+_STARTS = re.compile(r"(?:^|[.!?:…\"“„«])\W*$")
+
+
+def named(text: str) -> list[bool]:
+    """Which of the words are names or numbers: with a digit, or with a capital within a sentence."""
+    text = _bare(text)
+    return [any(c.isdigit() for c in m[0]) or m[0][0].isupper() and not _STARTS.search(text, max(0, m.start() - 12), m.start()) for m in _WORD.finditer(text)]
 
 
 def least_known(length: int = LEAST) -> int:
@@ -76,11 +91,15 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str | None, str | None]]) -> None:
         texts: dict[tuple[str, ...], set[int]] = defaultdict(set)
+        names: dict[tuple[str, ...], list[bool]] = {}
         for item_id, context, question in rows:
             for text in (context, question):
                 found = tuple(words(text)) if text else ()
                 if len(found) >= LEAST:
                     texts[found].add(item_id)
+                    flags = named(text)
+                    names.setdefault(found, flags if len(flags) == len(found) else [False] * len(found))
+        self.names = [names[t] for t in texts]
         self.ids = [sorted(ids) for ids in texts.values()]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for t in texts for w in t}))}
         self.texts = [np.array([self.vocabulary[w] for w in t], dtype=np.int32) for t in texts]
@@ -164,6 +183,28 @@ def _blocks(batches: Iterator[pd.DataFrame], idf: np.ndarray) -> Iterator[tuple[
         yield held, _vectors([w for _, w in held], idf)
 
 
+_PART = "block int, part binary"
+
+
+def _height(n_rows: int) -> int:
+    """Rows of one block of a product."""
+    return max(1, -(-n_rows // ROW_BLOCKS))
+
+
+def _added(width: int):
+    """The sum of the partial products of one block; the parts pass by one Arrow batch at a time."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in batches:
+            for part in pdf["part"]:
+                block = np.frombuffer(part, dtype=np.float32).reshape(-1, width)
+                total = block.astype(np.float64) if total is None else total + block
+        yield pd.DataFrame({"block": [key[0]], "part": [total.astype(np.float32).tobytes()]})
+
+    return run
+
+
 def _product(found: DataFrame, idf: np.ndarray, own: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A'(A basis) of the TF-IDF matrix A of the notebooks' windows and of the items' (``own``)."""
     shared = found.sparkSession.sparkContext.broadcast((idf, basis))
@@ -173,11 +214,16 @@ def _product(found: DataFrame, idf: np.ndarray, own: np.ndarray, basis: np.ndarr
         total = np.zeros_like(right)
         for _, x in _blocks(batches, weights):
             total += x.T @ (x @ right)
-        yield pd.DataFrame({"part": [total.astype(np.float32).tobytes()]})
+        step = _height(len(total))
+        ats = range(0, len(total), step)
+        yield pd.DataFrame({"block": [at // step for at in ats], "part": [total[at : at + step].astype(np.float32).tobytes() for at in ats]})
 
     total = own.T @ (own @ basis)
-    for row in found.repartition(PARTIALS).mapInPandas(run, "part binary").collect():
-        total = total + np.frombuffer(row.part, dtype=np.float32).reshape(basis.shape)
+    parts = found.mapInPandas(run, _PART).groupBy("block").applyInPandas(_added(basis.shape[1]), _PART)
+    for row in parts.collect():
+        block = np.frombuffer(row.part, dtype=np.float32).reshape(-1, basis.shape[1])
+        at = row.block * _height(len(basis))
+        total[at : at + len(block)] += block
     return total
 
 
@@ -193,52 +239,53 @@ def latent_space(found: DataFrame, idf: np.ndarray, own: np.ndarray, rank: int =
     return (basis @ turn[:, order]).astype(np.float32)
 
 
-def leaks(doc: np.ndarray, item: np.ndarray) -> bool:
-    """Whether ``doc`` has a run of at least ``LEAST`` words of ``item`` with one in eight changed at most.
+def leak(doc: np.ndarray, item: np.ndarray, names: list[bool]) -> tuple[int, int] | None:
+    """(words, changed words) of a run of ``item`` in ``doc`` of at least ``LEAST`` words with one in eight changed at most, or None.
 
-    Runs of at least two equal words are chained; the words between two runs count
-    as changed. A chain begins and ends with equal words. Changed words side by side,
-    as where two names follow each other in texts that are only alike, need a chain
-    of ``LEAST_BESIDE`` words.
+    A run begins and ends with equal words. From each place where one can begin, the
+    alignments that reach furthest along each diagonal are kept for every number of
+    changes. An alignment that is more than two changes ahead of one in eight is given
+    up: without its beginning the rest of such a run is long enough and has a place to
+    begin of its own.
     """
     places = defaultdict(list)
-    for j, w in enumerate(item.tolist()):
+    own = item.tolist()
+    for j, w in enumerate(own):
         places[w].append(j)
-    runs: list[tuple[int, int, int]] = []
-    open_: dict[int, tuple[int, int]] = {}
     ids = doc.tolist()
+    n, m = len(ids), len(own)
     for i, w in enumerate(ids):
-        now = {}
         for j in places.get(w, ()):
-            start, n = open_.pop(j - i, (j, 0))
-            now[j - i] = (start, n + 1)
-        runs += [(start, start - d, n) for d, (start, n) in open_.items() if n > 1]
-        open_ = now
-    runs += [(start, start - d, n) for d, (start, n) in open_.items() if n > 1]
-    runs.sort()
-    for k, (j, i, n) in enumerate(runs):
-        if n >= LEAST:
-            return True
-        end_j, end_i, edits, widest = j + n, i + n, 0, 0
-        rest = runs[k + 1 :]
-        while rest:
-            gaps = []
-            for a, b, m in rest:
-                skip = max(0, end_j - a, end_i - b)
-                if m - skip > 0 and a + m > end_j and b + m > end_i:
-                    gaps.append((max(a + skip - end_j, b + skip - end_i), a, b, m))
-            if not gaps:
-                break
-            gap, a, b, m = min(gaps)
-            edits += max(1, gap)
-            widest = max(widest, gap)
-            if edits * ONE_IN > 2 * len(item):
-                break
-            end_j, end_i = a + m, b + m
-            if end_j - j >= (LEAST if widest <= 1 else LEAST_BESIDE) and edits * ONE_IN <= end_j - j:
-                return True
-            rest = [r for r in rest if r[0] + r[2] > end_j and r[1] + r[2] > end_i]
-    return False
+            if m - j < LEAST or (i and j and ids[i - 1] == own[j - 1]):
+                continue
+            level: dict[int, tuple[int, tuple[int, ...]]] = {i - j: (j, ())}
+            changes = 0
+            while level:
+                following: dict[int, tuple[int, tuple[int, ...]]] = {}
+                for d, (at, changed) in level.items():
+                    end = at
+                    while end < m and end + d < n and ids[end + d] == own[end]:
+                        end += 1
+                    length = end - j
+                    if end > at and length >= LEAST and changes * ONE_IN <= length and not _only_alike(changed, names, j, end):
+                        return length, changes
+                    if (changes + 1) * ONE_IN - length > 2 * ONE_IN:
+                        continue
+                    # replaced, added, left out; an added word is written as its place below zero
+                    for diagonal, to, mark in ((d, end + 1, end), (d + 1, end, ~end), (d - 1, end + 1, end)):
+                        if to < m and to + diagonal < n and (diagonal not in following or following[diagonal][0] < to):
+                            following[diagonal] = (to, (*changed, mark))
+                changes += 1
+                level = following if changes * ONE_IN <= m - j else {}
+    return None
+
+
+def _only_alike(changed: tuple[int, ...], names: list[bool], start: int, end: int) -> bool:
+    """Whether the changes are those of another text: some of them side by side, and no name or number of the run is left."""
+    if not any(b - a == 1 for a, b in zip(changed, changed[1:])):
+        return False
+    told = [j for j in range(start, end) if names[j]]
+    return bool(told) and set(told) <= set(changed)
 
 
 #: Pairs of neighbouring words that any leak shares with its item.
@@ -247,7 +294,7 @@ LEAST_PAIRS = LEAST - 1 - 3 * (LEAST // ONE_IN + 1)
 
 def _search(shared, cosine: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        idf, space, latent, owners, texts, pairs, ids = shared.value
+        idf, space, latent, owners, texts, pairs, ids, names = shared.value
         for pdf in batches:
             out = set()
             for doc_id, stretch in zip(pdf["doc_id"], pdf["ids"]):
@@ -259,7 +306,7 @@ def _search(shared, cosine: float):
                 for at in range(0, len(z), BLOCK):
                     seen.update(np.unique(owners[np.nonzero((z[at : at + BLOCK] @ latent.T >= cosine).any(axis=0))[0]]).tolist())
                 for k in seen:
-                    if len(mine & pairs[k]) >= LEAST_PAIRS and leaks(doc, texts[k]):
+                    if len(mine & pairs[k]) >= LEAST_PAIRS and leak(doc, texts[k], names[k]):
                         out.update((item, doc_id) for item in ids[k])
             yield pd.DataFrame(sorted(out), columns=["item_id", "doc_id"])
 
@@ -288,5 +335,5 @@ def leaked_items(items: DataFrame, documents: DataFrame, cosine: float = COSINE,
     latent = own @ space
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     owners = np.array([k for k, _ in known.windows])
-    shared = spark.sparkContext.broadcast((idf, space, latent.astype(np.float32), owners, known.texts, known.pairs, known.ids))
+    shared = spark.sparkContext.broadcast((idf, space, latent.astype(np.float32), owners, known.texts, known.pairs, known.ids, known.names))
     return found.mapInPandas(_search(shared, cosine), schema).distinct()

@@ -17,16 +17,51 @@ def test_words_without_markup_escapes_and_case():
     assert L.words('<b>The</b>&nbsp;Caf\\u00e9\\n# “No”, <i x="1">it</i>\\tend') == ["the", "café", "no", "it", "end"]
 
 
-def test_chains():
+def test_runs():
     rng = random.Random(2)
     item = np.array([rng.randrange(1000) for _ in range(60)])
+    found = lambda doc, names=None: L.leak(np.asarray(doc), item, names or [False] * 60)
     part = item[10:30].copy()
-    assert L.leaks(part, item) and L.leaks(np.concatenate([[2000], part, [2001]]), item)
-    assert not L.leaks(item[10:24], item)
+    assert found(part) == (15, 0) or found(part)[0] >= 15
+    assert found(np.concatenate([[2000], part, [2001]]))
+    assert not found(item[10:24])
     part[8] = 5000
-    assert L.leaks(part, item)
-    assert L.leaks(np.insert(part, 4, 6000), item)
-    assert not L.leaks(np.where(np.arange(20) % 4 == 3, -1, part), item)
+    assert found(part) and found(np.insert(part[9:], 4, 6000)) is None
+    assert found(np.insert(item[10:30], 4, 6000))
+    assert not found(np.where(np.arange(20) % 4 == 3, -1, part))
+    beside = item[10:26].copy()
+    beside[7:9] = -1
+    assert found(beside) and found(beside[:15]) is None
+    start = item[10:26].copy()
+    start[1], start[3] = -1, -1  # single equal words at the beginning
+    assert found(start)
+    names = [17 <= k < 19 for k in range(60)]
+    assert not found(beside, names)  # both names were changed: only alike
+    assert found(beside, [k in (17, 12) for k in range(60)])
+
+
+def test_names():
+    assert L.named("How did Ann Lee sell 12 figs? Who knows. The end of May") == [False, False, True, True, False, True, False, False, False, False, False, False, True]
+
+
+def test_runs_and_latent_search_against_brute_force(spark):
+    """Every leak with one word in eight changed is found through the latent space, and nothing else."""
+    rng = random.Random(8)
+    items = [(k, None, text(rng, 40)) for k in range(30)]
+    docs = []
+    for d in range(90):
+        part = items[d % 30][2].split()
+        size = rng.randrange(10, 33)
+        at = rng.randrange(0, 40 - size)
+        part = part[at : at + size]
+        for _ in range(rng.randrange(0, size // 6 + 1)):
+            part[rng.randrange(len(part))] = rng.choice(["other", "w7", "new"])
+        docs.append((d, f"{text(rng, rng.randrange(0, 60))} {' '.join(part)} {text(rng, 30)}"))
+    got = {tuple(r) for r in L.leaked_items(spark.createDataFrame(items, ITEM), spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    known = L.Items(items)
+    ids = {d: np.array([known.vocabulary.get(w, -1) for w in L.words(t)]) for d, t in docs}
+    want = {(known.ids[k][0], d) for d in ids for k in range(len(known.texts)) if L.leak(ids[d], known.texts[k], known.names[k])}
+    assert got == want and len(want) > 40
 
 
 def test_found_pairs(spark):
