@@ -6,10 +6,15 @@ are the passages. A passage window retrieves the exemplars that share its tokens
 and the TF-IDF containment of one in the other decides:
 
 * ``placeholder``: all of the exemplar lies in the window (a stretch the size of
-  the exemplar is enough, real sentences may stand around it);
-* ``unset`` and ``filler``: the window lies in the exemplar; for ``unset`` the line
-  or, in running text, one of its sentences;
-* ``message``: the line lies in the exemplar. A page is left out only if such
+  the exemplar is enough, real sentences may stand around it). Template syntax is a
+  token of its own; names in brackets or percent signs are one only where they name
+  something that a template fills in. Exemplars of talk about templates compete: where
+  they hold more of the words around the syntax, it is an example and no residue;
+* ``unset``: a window around the unset value lies in the exemplar, as where a price
+  or an amount is printed;
+* ``filler``: the window lies in the exemplar;
+* ``message``: the line lies in the exemplar or, told in other words, almost all of
+  it lies in the pool of all messages (words compared by their beginnings). A page is left out only if such
   lines cover (nearly) all the weight of its body, so a notice beside real
   content is none.
 
@@ -39,8 +44,12 @@ from .main_content import body_flags, page_lines
 
 #: Least containment of a window or line, and least part of a body that messages must cover.
 CONTAINED, COVERED = 0.6, 0.75
-#: Tokens in a window of running text and the least that a filler window has.
-WINDOW, LEAST_FILLER = 10, 6
+#: Tokens in a window of running text, the least that a filler window has, and tokens on each side of an unset value or of template syntax.
+WINDOW, LEAST_FILLER, UNSET_SIDE, TALK_SIDE = 10, 4, 2, 8
+#: Least containment in the pool of messages, the words in it that a line must have, and the letters by which they are compared.
+POOLED, LEAST_POOLED, STEM = 0.8, 2, 5
+#: Least part of the words around template syntax that exemplars of talk about it hold.
+TALK = 0.2
 
 #: Template syntax; each pattern becomes one marker token (fixed values).
 MARKERS = (
@@ -60,6 +69,15 @@ MARKERS = (
     ("object", r"\[object \w+\]"),
     ("shortcode", r"\[/?[a-z]+_[a-z_]+(?: [^\[\]\n]*)?\]"),
 )
+#: Marks whose inner words must name something that a template fills in, and such words (fixed values).
+_NAMED = frozenset(("percent", "money", "at", "merge", "dunder", "bracket"))
+_SLOTS = frozenset(
+    """your insert add enter type replace placeholder lorem here name firstname lastname fname lname first last business company shop store restaurant brand owner address street city town state
+    region country zip zipcode postcode postal code phone telephone tel number mobile fax email mail url website site link href logo image img photo picture caption icon title headline heading header
+    subtitle subheading slogan tagline text body copy content description paragraph summary intro date time day hours opening price amount total quantity product service item category user customer client
+    year month button cta label value field variable var tbd todo unsubscribe view currency copyright greeting page section quote author""".split()
+)
+_INNER = re.compile(r"[A-Za-z]+")
 _MARKER = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in MARKERS))
 
 #: Exemplars by label (fixed values; one exemplar per line).
@@ -120,7 +138,13 @@ seu título aqui
 見出しを入力
 """,
     "unset": """
-undefined null nan object price name title none nil invalid date
+undefined null nan object price name title none nil invalid date per kilo kg total amount from only each hours open until rating stock stars
+""",
+    "talk": """
+template templates templating syntax variable variables print prints printed write writes writing type typed typing called means meaning explains explain example examples snippet tutorial lesson course documentation manual reader readers learn
+curly braces brackets double percent dollar sign signs escape tag tags expression expressions render renders engine markup code coder programmer developer developers language function string
+environment setting settings folder directory path file command shell windows linux script help
+vorlage vorlagen variable variablen schreibt ausgabe beispiel geschweifte klammern modèle variables affiche écrit exemple accolades plantilla variables escribe imprime ejemplo llaves шаблон переменная пишет пример скобки
 """,
     "filler": """
 lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum consectetuer nonummy nibh euismod tincidunt laoreet erat volutpat wisi
@@ -245,6 +269,26 @@ error
 oops
 sorry
 http error
+our servers are busy right now please come back later
+the server is overloaded or down try again in a few minutes
+we are experiencing technical difficulties
+our team has been notified and is working on a fix
+this service is currently offline
+the site is down please come back soon
+we are working to bring it back as soon as possible
+the link you followed may be broken or the page may have been removed
+we looked everywhere but this page is missing
+this content is no longer available
+this page has been deleted or has expired
+you must be logged in to view this page
+you do not have the rights to see this
+your connection was reset by the server
+your browser sent a request that this server could not understand
+unusual traffic from your network was detected
+please confirm you are not a robot
+the application failed to start see the log for details
+the request took too long to process
+this feature requires a modern browser with scripts enabled
 seite nicht gefunden
 die seite wurde nicht gefunden
 die angeforderte seite konnte nicht gefunden werden
@@ -328,10 +372,18 @@ _CODE = re.compile(r"\S*/\S*/\S*|\w+\([^()\s]*\)")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 
 
+def _marked(m: re.Match) -> str:
+    """The token of a mark, or its inner words where they name nothing that a template fills in."""
+    inner = _INNER.findall(m[0])
+    if m.lastgroup in _NAMED and not any(w.lower() in _SLOTS for w in inner):
+        return " " + " ".join(inner) + " "
+    return f" \x01{m.lastgroup}\x02 "
+
+
 def tokens(text: str) -> list[str]:
     """Words without numbers, pairs of characters where no blanks part words, and marker tokens."""
     if _MARKS.search(text):
-        text = _MARKER.sub(lambda m: f" \x01{m.lastgroup}\x02 ", text)
+        text = _MARKER.sub(_marked, text)
     if "/" in text or "(" in text:
         text = _CODE.sub(" ", text)
     words = _TOKEN.findall(text.lower().replace("’", "'"))
@@ -364,27 +416,46 @@ _COMMON = frozenset("a an the of to in on for is are was and or we you your our
 
 @lru_cache(maxsize=1)
 def _telling() -> dict[str, list[int]]:
-    """The inverted index that retrieves: by the tokens that are not common, all tokens where none is."""
+    """The inverted index that retrieves: by the tokens that are not common, all tokens where none is. Unset values and talk are looked up around their marks."""
     exemplars, _ = _index()
     index: dict[str, list[int]] = defaultdict(list)
-    for k, (_, bag) in enumerate(exemplars):
-        for token in [t for t in bag if t not in _COMMON] or bag:
-            index[token].append(k)
+    for k, (label, bag) in enumerate(exemplars):
+        if label not in ("unset", "talk"):
+            for token in [t for t in bag if t not in _COMMON] or bag:
+                index[token].append(k)
     return dict(index)
 
 
+@lru_cache(maxsize=1)
+def _sets() -> list[frozenset[str]]:
+    return [frozenset(bag) for _, bag in _index()[0]]
+
+
+@lru_cache(maxsize=1)
+def _pool() -> tuple[frozenset[str], frozenset[str]]:
+    """Beginnings of the words of all messages, and of those that are not common."""
+    words = {t for label, bag in _index()[0] if label == "message" for t in bag}
+    return frozenset(w[:STEM] for w in words), frozenset(w[:STEM] for w in words - _COMMON if len(w) > 1)
+
+
+def _in_pool(words: set[str]) -> bool:
+    """Whether a line may lie in the pool: enough of its words do, none weighed."""
+    every, telling = _pool()
+    return sum(w[:STEM] in telling for w in words) >= LEAST_POOLED and sum(w[:STEM] in every for w in words) >= 0.6 * len(words)
+
+
 def _retrieved(bag: Counter | set[str]) -> set[int]:
     """Exemplars that share enough tokens with a window to be worth weighing."""
     telling = _telling()
-    hits = [t for t in bag if t in telling]
+    words = set(bag)
+    hits = words & telling.keys()
     if not hits:
         return set()
-    exemplars, _ = _index()
-    out, least = set(), 0.4 * len(bag)
+    sets, least = _sets(), 0.4 * len(words)
+    out = set()
     for k in {k for t in hits for k in telling[t]}:
-        own = exemplars[k][1]
-        shared = sum(t in own for t in bag)
-        if shared >= least or shared >= len(own):
+        shared = len(words & sets[k])
+        if shared >= least or shared >= len(sets[k]):
             out.add(k)
     return out
 
@@ -434,9 +505,9 @@ def _promising(html: str) -> tuple[list[tuple[str, str]], set[str]]:
         bag = set(words)
         known = bag & vocabulary
         seen |= known
-        if not hit and place != "quoted" and known & telling:
-            hit = bool(_retrieved(bag)) or len(words) > WINDOW and any(_retrieved(set(w)) for w in _windows(words))
-            hit = hit or not _UNSET.isdisjoint(bag) and any(_retrieved(set(tokens(p))) for p in _SENTENCE.split(text))
+        if not hit and place != "quoted" and known:
+            hit = bool(_retrieved(bag)) or place == "body" and _in_pool(bag) or len(words) > WINDOW and any(_retrieved(set(w)) for w in _windows(words))
+            hit = hit or not _UNSET.isdisjoint(bag)
     return (found if hit else []), seen
 
 
@@ -466,29 +537,29 @@ class Scorer:
         _, index = _index()
         self.weights = {t: math.log(1 + n / (1 + frequencies.get(t, 0))) for t in index}
         self.mean = sum(self.weights.values()) / max(1, len(self.weights))
+        held = lambda label: {t for name, bag in _index()[0] if name == label for t in bag}
+        self.talk, self.unset_words, self.filler_words = held("talk"), held("unset"), held("filler")
 
     def weight(self, words: list[str]) -> float:
         return sum(self.weights.get(w, self.mean) for w in words)
 
-    def labels(self, words: list[str]) -> dict[str, float]:
-        """The best containment by label of one window."""
+    def contained(self, words: list[str]) -> float:
+        """The best containment of one window in a message."""
         exemplars, _ = _index()
-        bag, best = Counter(words), {}
-        total = self.weight(words)
+        total, sets, best = self.weight(words), _sets(), 0.0
         if not total:
             return best
-        for k in _retrieved(bag):
-            label, exemplar = exemplars[k]
-            if label == "placeholder":
-                own = sum(self.weights[t] * n for t, n in exemplar.items())
-                value = sum(self.weights[t] * min(n, bag[t]) for t, n in exemplar.items()) / own
-            else:
-                value = sum(self.weights[t] * bag[t] for t in bag if t in exemplar) / total
-            best[label] = max(best.get(label, 0.0), value)
+        for k in _retrieved(set(words)):
+            if exemplars[k][0] == "message":
+                best = max(best, sum(self.weights[t] for t in words if t in sets[k]) / total)
+        if best < CONTAINED and _in_pool(set(words)):
+            every, _ = _pool()
+            pooled = sum(self.weights.get(t, self.mean) for t in words if t[:STEM] in every) / total
+            best = max(best, pooled if pooled >= POOLED else 0.0)
         return best
 
     def placeholder(self, words: list[str]) -> bool:
-        """Whether a stretch of running text, of the size of some placeholder exemplar, holds all of it."""
+        """Whether a stretch of the size of some placeholder exemplar holds all of it and is not talked about."""
         exemplars, _ = _index()
         telling, bag = _telling(), Counter(words)
         for k in {k for t in bag if t in telling for k in telling[t]}:
@@ -498,14 +569,34 @@ class Scorer:
             own = 0.99 * sum(self.weights[t] * n for t, n in exemplar.items())
             held = lambda b: sum(self.weights[t] * min(n, b[t]) for t, n in exemplar.items())  # noqa: B023, E731
             size = exemplar.total()
-            if held(bag) >= own and any(held(Counter(words[at : at + size])) >= own for at in range(max(1, len(words) - size + 1))):
-                return True
+            if held(bag) < own:
+                continue
+            for at in range(max(1, len(words) - size + 1)):
+                if held(Counter(words[at : at + size])) >= own and not (size == 1 and self.talked(words, at)):
+                    return True
         return False
 
+    def talked(self, words: list[str], at: int) -> bool:
+        """Whether the words around template syntax are talk about it, by weight."""
+        around = [w for w in words[max(0, at - TALK_SIDE) : at + TALK_SIDE + 1] if w[0] != "\x01"]
+        talk = sum(self.weights[w] for w in around if w in self.talk)
+        return bool(around) and talk >= TALK * self.weight(around)
+
     def unset(self, text: str) -> float:
-        """The best containment of a sentence with an unset value in the unset values."""
-        parts = [p for p in map(tokens, _SENTENCE.split(text)) if not _UNSET.isdisjoint(p)]
-        return max((self.labels(p).get("unset", 0.0) for p in parts), default=0.0)
+        """The best containment in the unset values of a window around one, within its sentence."""
+        best = 0.0
+        for words in map(tokens, _SENTENCE.split(text)):
+            for at, word in enumerate(words):
+                if word in _UNSET:
+                    window = words[max(0, at - UNSET_SIDE) : at + UNSET_SIDE + 1]
+                    best = max(best, sum(self.weights[w] for w in window if w in self.unset_words) / self.weight(window))
+        return best
+
+    def filler(self, window: list[str]) -> float:
+        """Containment of a window in the filler text, if it has at least two of its longer words."""
+        if sum(len(w) > 3 and w in self.filler_words for w in window) < 2:
+            return 0.0
+        return sum(self.weights[w] for w in window if w in self.filler_words) / self.weight(window)
 
     def verdict(self, places: list[str], texts: list[str]) -> tuple[str, float] | None:
         """(kind, coverage) of a page that is residue, else None."""
@@ -515,19 +606,13 @@ class Scorer:
             if not words:
                 continue
             if place != "quoted":
+                if self.placeholder(words):
+                    return "placeholder", 1.0
+                if not _UNSET.isdisjoint(words) and (value := self.unset(text)) >= CONTAINED:
+                    return "unset", value
                 for window in [words] if len(words) <= WINDOW else _windows(words):
-                    labels = self.labels(window)
-                    if labels.get("placeholder", 0) >= 0.99:
-                        return "placeholder", 1.0
-                    if labels.get("unset", 0) >= CONTAINED and len(words) <= WINDOW and not _UNSET.isdisjoint(words):
-                        return "unset", labels["unset"]
-                    if labels.get("filler", 0) >= CONTAINED and len(window) >= LEAST_FILLER:
-                        return "filler", labels["filler"]
-                if len(words) > WINDOW:
-                    if self.placeholder(words):
-                        return "placeholder", 1.0
-                    if not _UNSET.isdisjoint(words) and (value := self.unset(text)) >= CONTAINED:
-                        return "unset", value
+                    if len(window) >= LEAST_FILLER and (value := self.filler(window)) >= CONTAINED:
+                        return "filler", value
             if place != "title":
                 weight = self.weight(words)
                 total += weight
@@ -539,14 +624,14 @@ class Scorer:
 
     def message(self, text: str) -> float:
         """Containment of a line in messages: of the line as a whole or of its sentences."""
-        whole = self.labels(tokens(text)).get("message", 0.0)
+        whole = self.contained(tokens(text))
         if whole >= CONTAINED:
             return whole
         parts = [tokens(p) for p in _SENTENCE.split(text)]
         weights = [self.weight(p) for p in parts]
         if not sum(weights):
             return 0.0
-        return sum(w for p, w in zip(parts, weights) if p and self.labels(p).get("message", 0.0) >= CONTAINED) / sum(weights)
+        return sum(w for p, w in zip(parts, weights) if p and self.contained(p) >= CONTAINED) / sum(weights)
 
 
 def _decide(frequencies: dict[str, int]):

@@ -103,3 +103,38 @@ def test_residue_inside_long_lines(spark, pages, text):
     html = f"<main><p>{text}</p>{rest}</main>"
     real = "<main><p>The value null means that nothing was stored there. Our undefined terms are listed in a table of words.</p>" + rest + "</main>"
     assert [r.page_id for r in R.residue(pages({"html": html}, {"html": real})).collect()] == [0]
+
+
+def test_what_is_talked_about_and_what_is_printed(spark, pages):
+    real = ["Call [MENU] or [PARKING] for hours", "Set %USERPROFILE% in your help text", "Write {{ name }} in a template to print the name of the guest", "Sorry, we are closed on the feast of the town"]
+    bad = [f"{PROSE} The price of rye flour in the shop is undefined per kilo at the moment of asking you", "Lorem ipsum dolor sit amet", f"{PROSE} Call [PHONE NUMBER] for hours", f"{PROSE} Dear {{{{ name }}}}, come and see us", "We are experiencing difficulties, our team is working on a fix"]
+    fill = f"<p>{PROSE}</p>" * 3
+    rows = [{"html": f"<main><p>{t}</p>{fill}</main>"} for t in real[:3]] + [{"html": f"<main><p>{real[3]}</p></main>"}] + [{"html": f"<main><p>{t}</p></main>"} for t in bad]
+    got = {r.page_id for r in R.residue(pages(*rows, *[{"html": f"<main>{fill}<p>Sorry, we are closed on the feast of the town. You are not here</p></main>"}] * 40)).collect()}
+    assert got == {4, 5, 6, 7, 8}
+
+
+def test_weights_matter():
+    """A line of common words lies in the messages if all words weigh the same, and does not with the weights of the corpus."""
+    weighed = R.Scorer({"": 10_000, **dict.fromkeys(R._index()[1], 30), **dict.fromkeys(R._COMMON, 8_000)})
+    flat = R.Scorer({})
+    flat.weights, flat.mean = dict.fromkeys(flat.weights, 1.0), 1.0
+    text = ["Sorry, we are closed on the feast of the town"]
+    assert weighed.verdict(["body"], text) is None and flat.verdict(["body"], text)
+
+
+#: Messages in words that are not those of any exemplar.
+HELD_OUT = """We couldn't locate the page you requested.|Sorry, this page doesn't exist anymore.|The website is temporarily down for maintenance. Please try again later.|Something broke on our end. Please try again in a few minutes.
+Your access to this page has been denied.|We'll be right back after a short maintenance.|This page needs JavaScript. Please enable it in your browser.|Service is temporarily unavailable, please try again later.
+The server encountered an error and could not complete your request.|Too many requests. Please wait a moment and try again.|Checking your browser, please wait.|This domain name has expired.|Our website is under construction. Please check back soon.
+Connection to the database failed.|You have been blocked from accessing this site.|The requested page was not found.|Please wait while the page is loading.|Welcome to nginx! Further configuration is required.|Your session has timed out. Please log in again.
+Diese Seite konnte nicht gefunden werden.|Die Website ist wegen Wartungsarbeiten vorübergehend nicht erreichbar.|La page que vous cherchez n'existe pas.|Une erreur interne est survenue.|No se ha podido encontrar la página.
+Страница, которую вы ищете, не найдена.|ページが存在しません|Our servers are taking a nap, come back after lunch."""
+
+
+def test_recall_on_held_out_wordings():
+    scorer = R.Scorer({"": 10_000, **dict.fromkeys(R._index()[1], 30), **dict.fromkeys(R._COMMON, 8_000)})
+    texts = [t for line in HELD_OUT.split("\n") for t in line.split("|")]
+    exemplars = set(R.EXEMPLARS["message"].split("\n"))
+    assert not any(t.lower().strip(".") in exemplars for t in texts)
+    assert sum(bool(scorer.verdict(["body"], [t])) for t in texts) >= 0.75 * len(texts)
