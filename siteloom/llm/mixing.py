@@ -10,7 +10,8 @@ before, so small sources are repeated only as far as they must be, and at most
 pattern's documents lie one after the other on a line, once per repetition, and a
 source takes the documents in the stretch that the flow gave it. Where the last
 stretch ends inside a document, that one is passed over and the rest is filled with
-the next documents of the order that still fit.
+the next documents of the order that still fit, once around the line: what a source
+lacks in the end is less than any document that it may still use.
 
 Defined results: null and empty texts count for nothing; documents without a
 source or of a source outside the mix fill no quota but count for the size of the
@@ -26,8 +27,10 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -40,9 +43,9 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\
 SEED = 11
 #: Documents in one slice of the seeded order, about.
 SLICE = 20_000
-#: Documents after the end of a stretch that are looked at to fill its rest.
+#: Documents that are looked at in one round to fill the rest of a stretch; rounds go on until none fits.
 FILLERS = 400
-#: A run of one character longer than this is counted in parts of this size.
+#: A text longer than this is counted in parts of about this size.
 PART_CHARS = 200_000
 
 
@@ -55,25 +58,34 @@ def tokenizer(path: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-_CUT = re.compile(r"\n(?=\S)")
+#: Places at which the pattern surely parts a text, whatever stands around them: before a blank that follows none, and between a letter and a figure.
+_SURE = re.compile(r"\S(?=[ \n])|[A-Za-z](?=[0-9])")
 
 
 def count_tokens(text: str, path: str = TOKENIZER) -> int:
-    """Tokens of a text; very long texts are counted in parts that end at line breaks where there are any."""
+    """Tokens of a text. A very long one is counted in parts, cut only where no token can reach across, so the sum is that of the whole."""
     encode = tokenizer(path).encode_ordinary
     total = at = 0
     while len(text) - at > PART_CHARS:
-        cut_at = text.rfind("\n", at + 1, at + PART_CHARS)
-        cut_at = cut_at if cut_at > at else at + PART_CHARS
-        total += len(encode(text[at:cut_at]))
-        at = cut_at
+        sure = _SURE.search(text, at + PART_CHARS)
+        if sure is None:
+            break
+        total += len(encode(text[at : sure.end()]))
+        at = sure.end()
     return total + len(encode(text[at:] if at else text))
 
 
+def _shipped(path: str) -> str:
+    """Where a task finds the vocabulary: the copy sent along with the job."""
+    copy = SparkFiles.get(Path(path).name)
+    return copy if Path(copy).exists() else path
+
+
 def _count_batches(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = _shipped(path)
         for pdf in batches:
-            pdf["n_tokens"] = [count_tokens(t, path) for t in pdf["text"]]
+            pdf["n_tokens"] = [count_tokens(t, own) for t in pdf["text"]]
             yield pdf[["doc_id", "source", "text_key", "n_tokens"]]
 
     return run
@@ -86,6 +98,7 @@ def source_name(source: Column) -> Column:
 
 def sized_documents(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, text_key, n_tokens) of every document with a text."""
+    documents.sparkSession.sparkContext.addFile(path)
     rows = spread(documents.filter(F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", source_name(F.col("source")).alias("source"), "text"))
     return rows.select("doc_id", "source", F.md5("text").alias("text_key"), "text").mapInPandas(_count_batches(path), "doc_id long, source string, text_key string, n_tokens long")
 
@@ -197,8 +210,9 @@ def _mixed(documents: DataFrame, targets: DataFrame, path: str, seed: int) -> tu
     supply = {r.pattern: r.n for r in by_pattern if r.n}
     flows = _stretches(rows, supply, pool)
     last = {(m, p): max(high for m2, p2, _, _, high, _ in flows if (m2, p2) == (m, p)) for m, p, *_ in flows}
-    rows_ = [(*f, f[4] == last[f[0], f[1]] and f[4] % f[5] > 0) for f in flows]
-    schema = "mix_name string, pattern string, source string, low long, high long, length long, ends boolean"
+    most = {(r.mix_name, r.source): r.max_repeats for r in rows}
+    rows_ = [(*f, f[4] == last[f[0], f[1]] and f[4] % f[5] > 0, most[f[0], f[2]]) for f in flows]
+    schema = "mix_name string, pattern string, source string, low long, high long, length long, ends boolean, most int"
     stretches = F.broadcast(spark.createDataFrame(rows_, schema))
     middle = F.col("begin") + F.floor(F.col("n_tokens") / 2)
     turns = lambda edge: F.greatest(F.ceil((F.col(edge) - middle) / F.col("length")), F.lit(0))
@@ -206,7 +220,7 @@ def _mixed(documents: DataFrame, targets: DataFrame, path: str, seed: int) -> tu
     lined = cut(_lined_up(units, sum(r.docs for r in by_pattern), seed))
     placed = lined.join(stretches, "pattern").withColumn("as_doc", F.try_element_at("members", F.col("source"))).drop("members").withColumn("uses", F.when(F.col("ends"), whole).otherwise(turns("high")) - turns("low"))
     chosen = placed.filter(F.col("uses") > 0).select("mix_name", "pattern", "source", F.col("as_doc").alias("doc_id"), "n_tokens", F.col("uses").cast("long").alias("uses"))
-    extra = _fill(placed, chosen, {(m, p, s): high - low for m, p, s, low, high, _, ends in rows_ if ends})
+    extra = _fill(placed, chosen, {(m, p, s): high - low for m, p, s, low, high, _, ends, _ in rows_ if ends})
     if extra:
         chosen = chosen.unionByName(spark.createDataFrame(extra, chosen.schema))
     chosen = chosen.groupBy("mix_name", "source", "doc_id").agg(F.max("n_tokens").alias("n_tokens"), F.sum("uses").alias("uses"))
@@ -214,25 +228,37 @@ def _mixed(documents: DataFrame, targets: DataFrame, path: str, seed: int) -> tu
 
 
 def _fill(placed: DataFrame, chosen: DataFrame, wished: dict[tuple[str, str, str], int]) -> list[tuple]:
-    """Documents that fill what the last stretches lack, a bounded number for each of these few stretches."""
-    if not wished:
-        return []
+    """Documents that fill what the last stretches lack.
+
+    Each round takes, of the documents that still fit, the next ones of the order
+    (those behind the end of the stretch, then, where ``max_repeats`` permits one more
+    use, those before it). The first of a round always goes in, and rounds go on until
+    no document fits, so nothing is left out however many there are.
+    """
     names = ["mix_name", "pattern", "source"]
-    have = {(r.mix_name, r.pattern, r.source): r.n for r in chosen.groupBy(*names).agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("n")).collect()}
+    have = {(r.mix_name, r.pattern, r.source): r.n for r in chosen.groupBy(*names).agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("n")).collect()} if wished else {}
     lack = {k: n - have.get(k, 0) for k, n in wished.items()}
-    lacking = [(*k, n) for k, n in lack.items() if n > 0]
-    if not lacking:
-        return []
-    beyond = F.col("begin") + F.col("n_tokens") > F.col("high") % F.col("length")
-    left = placed.filter("ends").filter(beyond).join(F.broadcast(placed.sparkSession.createDataFrame(lacking, "mix_name string, pattern string, source string, lack long")), names).filter(F.col("n_tokens") <= F.col("lack"))
-    order = W.partitionBy(*names).orderBy("begin", "doc_id")
-    near = left.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= FILLERS).orderBy(*names, "n").collect()
+    passed = dict.fromkeys(lack, (-1, -1, -1))
+    turn = F.when(F.col("begin") + F.col("n_tokens") > F.col("high") % F.col("length"), 0).otherwise(1)
+    left = placed.filter("ends").withColumn("turn", turn).filter(F.col("uses") + 1 <= F.col("most"))
+    order = W.partitionBy(*names).orderBy("turn", "begin", "doc_id")
     out = []
-    for r in near:
-        key = (r.mix_name, r.pattern, r.source)
-        if r.n_tokens <= lack[key]:
-            lack[key] -= r.n_tokens
-            out.append((*key, r.as_doc, r.n_tokens, 1))
+    while lacking := [(*k, n, *passed[k]) for k, n in lack.items() if n > 0 and passed[k] is not None]:
+        asked = F.broadcast(placed.sparkSession.createDataFrame(lacking, "mix_name string, pattern string, source string, lack long, turn_ int, begin_ long, doc_ long"))
+        beyond = F.struct("turn", "begin", "doc_id") > F.struct(F.col("turn_").alias("turn"), F.col("begin_").alias("begin"), F.col("doc_").alias("doc_id"))
+        fit = left.join(asked, names).filter((F.col("n_tokens") <= F.col("lack")) & beyond)
+        near = fit.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= FILLERS).orderBy(*names, "n").collect()
+        seen: dict[tuple, int] = defaultdict(int)
+        for r in near:
+            key = (r.mix_name, r.pattern, r.source)
+            seen[key] += 1
+            passed[key] = (r.turn, r.begin, r.doc_id)
+            if r.n_tokens <= lack[key]:
+                lack[key] -= r.n_tokens
+                out.append((*key, r.as_doc, r.n_tokens, 1))
+        for *key, _, _, _, _ in lacking:
+            if seen[tuple(key)] < FILLERS:
+                passed[tuple(key)] = None
     return out
 
 

@@ -1,3 +1,5 @@
+import random
+
 from pathlib import Path
 
 import pytest
@@ -37,6 +39,26 @@ def test_empty(spark):
     assert [r.reached_tokens for r in X.mix_shares(empty, targets).collect()] == [0]
 
 
-def test_long_texts_are_counted_whole():
-    text = "word " * 100_000
-    assert abs(X.count_tokens(text) - 100_000) < 10
+def test_long_texts_are_counted_whole(monkeypatch):
+    whole = lambda t: len(X.tokenizer(X.TOKENIZER).encode_ordinary(t))
+    rng = random.Random(6)
+    texts = ["word " * 3_000, "ab12" * 2_000, "\n\n \t" * 2_000 + "x", "é" * 5_000, "don't   stop\r\n  at 12'sAll" * 400, "".join(rng.choice("ab1 \n'.é²\t中") for _ in range(20_000))]
+    monkeypatch.setattr(X, "PART_CHARS", 97)
+    assert [X.count_tokens(t) for t in texts] == [whole(t) for t in texts]
+
+
+def test_rest_is_filled_until_nothing_fits(spark, monkeypatch):
+    monkeypatch.setattr(X, "FILLERS", 3)
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"w{rng.randrange(900)}" for _ in range(rng.choice([1, 2, 60, 400]))), "a") for k in range(120)]
+    targets = spark.createDataFrame([("m", "a", 1.0, 1, 0.37), ("n", "a", 0.5, 2, 0.9)], TARGET)
+    df = docs(spark, rows)
+    chosen = X.mix_selection(df, targets).collect()
+    sizes = {r.doc_id: r.n_tokens for r in X.sized_documents(df).collect()}
+    for r in X.mix_shares(df, targets).collect():
+        used = {c.doc_id: c.uses for c in chosen if c.mix_name == r.mix_name}
+        most = {"m": 1, "n": 2}[r.mix_name]
+        left = [n for d, n in sizes.items() if used.get(d, 0) < most]
+        lacks = r.wanted_tokens - r.reached_tokens
+        assert lacks >= 0 and max(used.values()) <= most
+        assert not left or lacks < min(left)
