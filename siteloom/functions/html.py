@@ -319,13 +319,28 @@ def page_features(page_id: int, url: str, html: str) -> tuple:
 _NAMES = re.findall(r"(?:^|,) ?(\w+) (?=long|string|boolean|int|array)", SCHEMA)
 
 
-def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame([page_features(*row) for row in pdf.itertuples(index=False)], columns=_NAMES)
-
-
-def features(pages: DataFrame) -> DataFrame:
-    """The features of every page with html, by page_id."""
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    rows = pages.filter(F.col("html").isNotNull() & (F.col("html") != "")).select("page_id", F.coalesce(F.nullif("final_url", F.lit("")), "url", F.lit("")).alias("url"), "html")
-    return dealt(rows).mapInPandas(_batches, SCHEMA)
+def _batches(carry: list[str], integers: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [page_features(i, base, html) if html else (i, *[None] * (len(_NAMES) - 1)) for i, base, html in zip(pdf["page_id"], pdf["_base"], pdf["html"])]
+            out = pd.DataFrame(rows, columns=_NAMES, dtype=object)
+            for name in carry:
+                out[name] = pd.array(pdf[name], dtype="Int64") if name in integers else pdf[name].to_numpy()
+            yield out
+
+    return run
+
+
+def features(pages: DataFrame, carry: str = "", every: bool = False) -> DataFrame:
+    """The features of every page with html, with the columns of ``carry`` (a schema) as they are.
+
+    ``every`` keeps pages without html too; their features are null.
+    """
+    spark = pages.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    kinds = dict(c.split() for c in carry.split(", ")) if carry else {}
+    base = F.col("page") if "page" in pages.columns else F.coalesce(F.nullif("final_url", F.lit("")), "url", F.lit(""))
+    rows = pages if every else pages.filter(F.col("html").isNotNull() & (F.col("html") != ""))
+    rows = rows.select("page_id", base.alias("_base"), "html", *kinds)
+    integers = [n for n, k in kinds.items() if k in ("int", "long")]
+    return dealt(rows).mapInPandas(_batches(list(kinds), integers), f"{SCHEMA}, {carry}" if carry else SCHEMA)

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..functions import urls
-from ..functions.html import features
 from ..functions.lexicon import ANSWER_TYPES, DESCRIPTION_CHARS, ERROR_TITLES, EVIDENCE_KEY_CHARS, GENERIC_ANCHORS, LOCAL_TYPES, LONG_CHAIN, THIN_WORDS, TITLE_CHARS
-from ..sources.archive import crawl_pages
+from .pages import crawled, parsed
 
+#: Addresses that the evidence of a duplicate lists.
+SHOWN_ADDRESSES = 6
 FINDING = "struct<metric:string,severity:string,evidence:string,suggested_fix:string>"
 
 
@@ -29,11 +30,6 @@ def first_content(names: Column) -> Column:
     return F.try_element_at(names, F.lit(1))["content"]
 
 
-def facts(f: DataFrame) -> DataFrame:
-    """Features reduced to what the rules need."""
-    return f.select(*fact_columns())
-
-
 def fact_columns() -> list[str | Column]:
     """What the rules need of a page, as expressions over its features."""
     meta = lambda test: F.filter("metas", test)
@@ -74,15 +70,14 @@ def internal_links(anchors: Column, page: Column) -> Column:
     return F.size(F.filter(anchors, lambda a: urls.host(urls.resolve(F.trim(a["href"]), page)) == urls.host(page)))
 
 
-def audited(archive: DataFrame) -> DataFrame:
-    """Every crawled page with its admission and, where it is audited, its facts."""
-    pages = crawl_pages(archive)
-    known = facts(features(pages.filter(F.col("admission") == "audited")))
-    about = pages.select(
-        "page_id", "site", "crawl_idx", "page", "url", "status", "error", "admission",
-        F.lower(F.coalesce(F.try_element_at("headers", F.lit("x-robots-tag")), F.lit(""))).alias("x_robots"), F.coalesce("redirect_chain", F.array().cast("array<string>")).alias("chain"),
-    )
-    return about.join(known, "page_id", "left").withColumn("n_internal", internal_links(F.col("out"), F.col("page"))).drop("out")
+#: What the rules need of a page besides its features.
+ABOUT = ("site", "crawl_idx", "page", "url", "status", "error", "admission", "x_robots", "n_hops")
+
+
+def audited(archive: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Every crawled page with its admission and its facts; ``pages``: the archive as it was parsed."""
+    known = crawled(parsed(archive) if pages is None else pages).select(*ABOUT, *fact_columns())
+    return known.withColumn("n_internal", internal_links(F.col("out"), F.col("page"))).drop("out")
 
 
 def _finding(metric: str, severity: str | Column, when: Column, evidence: Column, fix: str) -> Column:
@@ -113,7 +108,7 @@ def page_rules() -> list[Column]:
         _finding("http_error_status", F.when(status >= 500, "high").otherwise("medium"), c("admission") == "failed", _say("Status ", status, " for ", c("url"), "; error: ", c("error"), "."), "Serve the page with status 200 or redirect it to a live one."),
         _finding("fetch_error", "medium", c("admission") == "unread", _say("No html was read: ", c("error"), "."), "Serve the page as text/html."),
         rule("not_https", "high", urls.scheme(c("page")) != "https", _say("Served from ", c("page"), "."), "Move the page to https and redirect the old address."),
-        rule("redirect_chain", "medium", F.size("chain") >= LONG_CHAIN, _say(F.size("chain"), " redirects before ", c("page"), "."), "Redirect once, straight to the final address."),
+        rule("redirect_chain", "medium", c("n_hops") >= LONG_CHAIN, _say(c("n_hops"), " redirects before ", c("page"), "."), "Redirect once, straight to the final address."),
         rule("missing_title", "high", ~c("has_title"), _say("The page has no title element."), "Add a title that names topic and business."),
         rule("empty_title", "high", c("has_title") & (c("title") == ""), _say("The title element is empty."), "Write a title."),
         rule("title_too_short", "medium", c("has_title") & (length > 0) & (length < TITLE_CHARS[0]), _say("Title of ", length, " characters: ", c("title")), "Lengthen the title to some 50 characters."),
@@ -151,9 +146,12 @@ def duplicates(pages: DataFrame, text: Column, metric: str, severity: str, ord_:
     rows = pages.filter(F.col("admission") == "audited").select("site", "page", "crawl_idx", "page_id", text.alias("raw")).withColumn("text", F.lower(F.trim("raw"))).filter(F.col("text") != "")
     by_page = rows.groupBy("site", "text", "page").agg(F.min(F.struct("crawl_idx", "page_id")).alias("first"))
     groups = by_page.groupBy("site", "text").agg(F.count("*").alias("n"), F.min_by("page", "first").alias("page"), F.min("first").alias("first")).filter(F.col("n") > 1)
+    nth = F.row_number().over(W.partitionBy("site", "text").orderBy("first", "page"))
+    shown = by_page.withColumn("k", nth).filter(F.col("k") <= SHOWN_ADDRESSES).groupBy("site", "text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "page"))), lambda x: x["page"]), ", ").alias("shown"))
+    groups = groups.join(shown, ["site", "text"])
     return groups.select(
         "site", "page", F.col("first.crawl_idx").alias("crawl_idx"), F.col("first.page_id").alias("page_id"), F.lit(ord_).alias("ord"), F.lit(metric).alias("metric"), F.lit(severity).alias("severity"),
-        _say(F.col("n"), " addresses share: ", F.col("text")).alias("evidence"), F.lit(fix).alias("suggested_fix"),
+        _say(F.col("n"), " addresses share: ", F.col("text"), " (", F.col("shown"), ")").alias("evidence"), F.lit(fix).alias("suggested_fix"),
     )
 
 

@@ -1,7 +1,8 @@
 """The optional outside model: any callable from prompt to text, off by default.
 
-A callable may fail; it is tried again a few times and then counts as silent, so
-a run never depends on it. What it proposes is checked by the operators that take
+A callable may fail; it is tried again a few times and then counts as silent. A
+request that the model cannot take (:class:`BadRequest`) is never tried again: it ends
+a reading of pages and leaves a pick silent. What it proposes is checked by the operators that take
 its answers (``nap.accepted_proposals``, ``retrieval.picked``).
 """
 
@@ -23,11 +24,19 @@ ASK_NAP = "Name the business, phone, street_address, city, region, postal_code a
 ASK_PICK = 'Give the number of the passage that answers the question as {"index": n}, or {"index": null} if none does.\n\n'
 
 
-def ask(call: Call, prompt: str, attempts: int = ATTEMPTS) -> str:
-    """The answer, or nothing after the last failed attempt."""
+class BadRequest(Exception):
+    """Raised by a callable for a request that will not become good by asking again."""
+
+
+def ask(call: Call, prompt: str, attempts: int = ATTEMPTS, strict: bool = False) -> str:
+    """The answer, or nothing after the last failed attempt; ``strict`` lets a bad request through."""
     for _ in range(attempts):
         try:
             return call(prompt) or ""
+        except BadRequest:
+            if strict:
+                raise
+            return ""
         except Exception:  # noqa: BLE001 - any failure of a service is a silent answer
             continue
     return ""
@@ -48,7 +57,7 @@ def proposals(texts: DataFrame, call: Call) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, str(k), str(v)) for i, t in pdf.itertuples(index=False) for k, v in json_object(ask(call, ASK_NAP + t)).items() if v]
+            rows = [(i, str(k), str(v)) for i, t in pdf.itertuples(index=False) for k, v in json_object(ask(call, ASK_NAP + t, strict=True)).items() if v]
             yield pd.DataFrame(rows, columns=["page_id", "key", "value"])
 
     return texts.select("page_id", F.substring(F.coalesce("text", F.lit("")), 1, PROPOSAL_CHARS).alias("text")).mapInPandas(run, "page_id long, key string, value string")

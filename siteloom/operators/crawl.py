@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,21 +33,27 @@ def citations(archive: DataFrame, limit: int = MAX_CITATIONS) -> DataFrame:
     pages = crawl_pages(archive)
     hosts = "|".join(h.replace(".", "\\.") for h in CITATION_HOSTS)
     order = F.struct(F.coalesce("crawl_idx", F.lit(2**31 - 1)), "page_id", "link_idx")
-    found = link_edges(pages).join(pages.select("page_id", "site", "crawl_idx"), "page_id").filter(F.lower("target").rlike(hosts))
+    links = features(pages, "site string, crawl_idx int").select("page_id", "site", "crawl_idx", F.posexplode("targets").alias("link_idx", "target"))
+    found = links.filter(F.lower("target").rlike(hosts))
     firsts = found.groupBy("site", "target").agg(F.min(order).alias("first"))
     return firsts.withColumn("n", F.row_number().over(W.partitionBy("site").orderBy("first"))).filter(F.col("n") <= limit).select("site", (F.col("n") - 1).alias("idx"), "target")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, depth: int = 10) -> DataFrame:
-    """(site, node, depth): the least number of links from a site's start, up to a bound."""
-    edges.createOrReplaceTempView("siteloom_edges")
-    starts.createOrReplaceTempView("siteloom_starts")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE walk(site, node, depth) MAX RECURSION LEVEL {depth + 2} AS (
-          SELECT site, node, 0 FROM siteloom_starts
-          UNION ALL
-          SELECT w.site, e.target, w.depth + 1 FROM walk w JOIN siteloom_edges e ON e.site = w.site AND e.source = w.node WHERE w.depth < {depth})
-        SELECT site, node, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY site, node""")
+def reachable(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """(site, node, depth): the least number of links from a site's start, of every node or up to a bound.
+
+    Level by level: only nodes that no earlier level had go on, so circles end and no
+    walk is followed twice. ``edges``: (site, source, target), ``starts``: (site, node).
+    """
+    edges = cut(edges.select("site", "source", "target").distinct())
+    level = cut(starts.select("site", "node").distinct().withColumn("depth", F.lit(0).cast("long")))
+    reached, step = level, 0
+    while (depth is None or step < depth) and level.limit(1).count():
+        step += 1
+        following = edges.join(level.withColumnRenamed("node", "source"), ["site", "source"]).select("site", F.col("target").alias("node")).distinct()
+        level = cut(following.join(reached, ["site", "node"], "left_anti").withColumn("depth", F.lit(step).cast("long")))
+        reached = reached.unionByName(level)
+    return reached
 
 
 class Replay:
@@ -57,7 +63,8 @@ class Replay:
     address that is not yet known stops the run and is asked for.
     """
 
-    def __init__(self, start: str, robots: tuple[int | None, str | None], sitemap: list[str], budget: int) -> None:
+    def __init__(self, start: str, robots: tuple[int | None, str | None], sitemap: list[str], budget: int, ahead: int | None = None) -> None:
+        self.ahead = 2 * budget if ahead is None else ahead
         self.start = urls.normalized(start) or start
         self.host, self.rules, self.sitemap, self.budget = urls.host_of(self.start), rules(*robots), sitemap, budget
 
@@ -94,7 +101,7 @@ class Replay:
                 continue
             if url not in known:
                 ahead = [u for u in [url, *first, *later] if u not in known]
-                return kept, ahead[: 2 * self.budget]
+                return kept, ahead[: max(1, self.ahead)]
             page = known[url]
             status, final, links = page if page else (0, url, [])
             key = urls.normalized(final) or final
@@ -114,7 +121,7 @@ class Replay:
         return kept, []
 
 
-def _rounds(budget: int):
+def _rounds(budget: int, most: int | None):
     def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}
         about = None
@@ -128,7 +135,7 @@ def _rounds(budget: int):
             return
         listed = list(about.sitemap) if about.sitemap is not None else []
         status = None if pd.isna(about.status) else int(about.status)
-        kept, ahead = Replay(about.start_url, (status, about.body), listed, budget).run(known)
+        kept, ahead = Replay(about.start_url, (status, about.body), listed, budget, most).run(known)
         rows = [(key[0], k, u, False) for k, u in enumerate(kept)] + [(key[0], k, u, True) for k, u in enumerate(ahead)]
         yield pd.DataFrame(rows, columns=["site", "idx", "url", "wanted"])
 
@@ -148,23 +155,36 @@ def replay(archive: DataFrame, sites: DataFrame, budget: int = MAX_PAGES) -> Dat
     stored = pages.select("page_id", "site", key.alias("url"), F.col("page").alias("final_url"), F.coalesce("status", F.lit(0)).alias("status"), F.coalesce("crawl_idx", F.lit(2**31 - 1)).alias("o"))
     stored = stored.groupBy("site", "url").agg(F.min_by(F.struct("page_id", "final_url", "status"), F.struct("o", "page_id")).alias("p")).select("site", "url", "p.*")
     stored = cut(stored)
+
+    def answer(wanted: DataFrame) -> DataFrame:
+        met = cut(wanted.join(stored.drop("final_url", "status"), ["site", "url"]))
+        return pages.drop("url").join(met.select("page_id", "url"), "page_id")
+
+    return replay_rounds(answer, sites, budget)
+
+
+def replay_rounds(answer: Callable[[DataFrame], DataFrame], sites: DataFrame, budget: int, ahead: int | None = None) -> DataFrame:
+    """(site, idx, url) of the crawl of each site, with ``answer`` giving the pages (page_id, site, url, final_url, status, html) for the wanted (site, url).
+
+    Rounds go on until no site wants anything: every round makes its wanted addresses
+    known, and a site has as many of these as its pages name, so they end.
+    """
+    none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
     about = sites.select(
         "site", "start_url", F.lit("").alias("url"), F.lit(False).alias("found"), F.col("robots_status").alias("status"), F.lit("").alias("final_url"),
-        F.array().cast("array<string>").alias("links"), F.col("robots_body").alias("body"), F.coalesce("sitemap_urls", F.array().cast("array<string>")).alias("sitemap"),
+        empty.alias("links"), F.col("robots_body").alias("body"), F.coalesce("sitemap_urls", empty).alias("sitemap"),
     )
-    none = F.lit(None).cast("string")
     provided = None
-    for _ in range(budget + 1):
+    while True:
         state = about if provided is None else about.unionByName(provided)
-        out = cut(state.groupBy("site").applyInPandas(_rounds(budget), "site string, idx int, url string, wanted boolean"))
-        wanted = out.filter("wanted").select("site", "url").distinct()
+        out = cut(state.groupBy("site").applyInPandas(_rounds(budget, ahead), "site string, idx int, url string, wanted boolean"))
+        wanted = cut(out.filter("wanted").select("site", "url").distinct())
         if not wanted.limit(1).count():
-            break
-        met = cut(wanted.join(stored, ["site", "url"], "left"))
-        links = features(pages.join(met.select("page_id"), "page_id", "left_semi")).select("page_id", "targets")
-        new = met.join(links, "page_id", "left").select(
-            "site", none.alias("start_url"), "url", F.col("page_id").isNotNull().alias("found"), "status", "final_url", F.coalesce("targets", F.array().cast("array<string>")).alias("links"), none.alias("body"), F.array().cast("array<string>").alias("sitemap"),
+            return out.filter(~F.col("wanted")).select("site", "idx", "url")
+        got = answer(wanted).withColumn("page", page_url()).withColumn("status", F.coalesce("status", F.lit(0)))
+        read = features(got, "site string, url string, page string, status int", every=True).dropDuplicates(["site", "url"]).select("site", "url", F.col("page").alias("final_url"), "status", "targets", F.lit(True).alias("found"))
+        new = wanted.join(read, ["site", "url"], "left").select(
+            "site", none.alias("start_url"), "url", F.coalesce("found", F.lit(False)).alias("found"), "status", "final_url", F.coalesce("targets", empty).alias("links"), none.alias("body"), empty.alias("sitemap"),
         )
         new = cut(new)
         provided = new if provided is None else provided.unionByName(new)
-    return out.filter(~F.col("wanted")).select("site", "idx", "url")

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..functions import urls
-from ..functions.html import features
 from ..functions.lexicon import (
     CITY_STATE_ZIP,
     CITY_ZIP,
@@ -31,6 +30,7 @@ from ..functions.lexicon import (
 )
 from ..functions.text import norm_name, norm_phone, norm_value, squeezed
 from ..sources.archive import live_pages
+from .pages import live, parsed
 
 _PAIR = "array<struct<field:string,value:string,source:string>>"
 
@@ -58,10 +58,14 @@ def _value_of(values: Column, field: str) -> Column:
     return F.coalesce(F.try_element_at(F.filter(values, lambda v: v["field"] == field), F.lit(1))["value"], F.lit(""))
 
 
-def page_values(archive: DataFrame) -> DataFrame:
-    """All values of the live pages in long form, as found."""
-    pages = live_pages(archive)
-    f = features(pages)
+def page_order() -> Column:
+    """The place of a page: the crawl's own pages in their order, then those fetched as citations."""
+    return F.struct(F.coalesce("from_citation", F.lit(False)), F.coalesce("crawl_idx", F.lit(2**31 - 1)), "page_id")
+
+
+def page_values(archive: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """All values of the live pages in long form, as found; ``pages``: the archive as it was parsed."""
+    f = live(parsed(archive) if pages is None else pages)
     named = lambda column, source: F.transform(column, lambda v: F.struct(v["field"].alias("field"), v["value"].alias("value"), F.lit(source).alias("source")))
     tel = F.filter("anchors", lambda a: a["has_href"] & a["href"].rlike("^(?i)tel:"))
     numbers = F.flatten(F.transform(tel, lambda a: F.filter(F.array(F.regexp_replace(a["href"], "^[^:]*:", ""), a["text"]), lambda v: v != "")))
@@ -83,10 +87,8 @@ def page_values(archive: DataFrame) -> DataFrame:
     line = F.array_join(F.filter(F.array(street, city, F.trim(F.concat_ws(" ", region, code))), lambda x: x != ""), ", ")
     whole = ~F.exists("v", lambda x: x["field"] == "full_address") & (street != "") & ((city != "") | (code != ""))
     composed = F.when(whole, F.concat("v", _pairs(F.array(line), "full_address", "composed"))).otherwise(F.col("v"))
-    order = F.struct(F.coalesce("from_citation", F.lit(False)), F.coalesce("crawl_idx", F.lit(2**31 - 1)), "page_id")
     return (
-        f.join(pages.select("page_id", "site", "page", order.alias("page_idx")), "page_id")
-        .select("site", "page_idx", "page_id", "page", found.alias("v"))
+        f.select("site", page_order().alias("page_idx"), "page_id", "page", found.alias("v"))
         .select("site", "page_idx", "page_id", "page", F.posexplode(composed).alias("value_idx", "x"))
         .select("site", "page_idx", "page_id", "page", "x.field", "value_idx", squeezed(F.col("x.value")).alias("value"), "x.source")
         .filter(F.col("value") != "")
@@ -113,8 +115,7 @@ def spread_name(values: DataFrame, archive: DataFrame) -> DataFrame:
     """
     home = values.filter((F.col("field") == "business_name") & urls.path(F.col("page")).isin("", "/"))
     names = home.groupBy("site").agg(F.min_by("value", F.struct("page_idx", "value_idx")).alias("name"))
-    order = F.struct(F.coalesce("from_citation", F.lit(False)), F.coalesce("crawl_idx", F.lit(2**31 - 1)), "page_id")
-    pages = live_pages(archive).select("site", order.alias("page_idx"), "page_id", "page", "html").join(names, "site")
+    pages = live_pages(archive).select("site", page_order().alias("page_idx"), "page_id", "page", "html").join(names, "site")
     had = values.filter(F.col("field") == "business_name").select("page_id", F.lower("value").alias("key"))
     mentions = (
         pages.filter(F.contains(F.lower("html"), F.lower("name")))
@@ -192,9 +193,20 @@ def compare(values: DataFrame, sites: DataFrame | None = None) -> DataFrame:
     return out.select("site", "field_idx", "field", "pages_compared", "values", "normalized_values", "confidence", "verdict", "sources", said.alias("explanation"))
 
 
-def report(archive: DataFrame, sites: DataFrame) -> DataFrame:
-    """The report of every site from its archived pages, citations included."""
-    values = cleaned(page_values(archive)).persist(StorageLevel.MEMORY_AND_DISK)
+def report(archive: DataFrame, sites: DataFrame, pages: DataFrame | None = None, proposals: DataFrame | None = None) -> DataFrame:
+    """The report of every site from its archived pages, citations included.
+
+    ``pages``: the archive as it was parsed. ``proposals``: accepted proposals of an
+    outside model (page_id, field, value, source), which join the values of their page.
+    """
+    pages = parsed(archive) if pages is None else pages
+    values = cleaned(page_values(archive, pages))
+    if proposals is not None:
+        known = live(pages).select("page_id", "site", page_order().alias("page_idx"), "page").dropDuplicates(["page_id"])
+        new = proposals.join(values.select("page_id", "field", F.lower("value").alias("key")), [proposals["page_id"] == values["page_id"], proposals["field"] == values["field"], F.lower(proposals["value"]) == F.col("key")], "left_anti")
+        added = new.join(known, "page_id").select("site", "page_idx", "page_id", "page", "field", F.lit(2**29).alias("value_idx"), squeezed(F.col("value")).alias("value"), F.array("source").alias("sources"))
+        values = values.unionByName(added)
+    values = values.persist(StorageLevel.MEMORY_AND_DISK)
     return compare(spread_name(values, archive), sites)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,24 +34,24 @@ from ..functions.lexicon import (
     VECTOR_K,
 )
 from ..functions.text import chunks, has_time, is_chrome, query_terms, squeezed, tokens
-from ..sources.archive import crawl_pages
+from .pages import crawled, live, parsed
 
 
-def passages(archive: DataFrame) -> DataFrame:
+def passages(archive: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """(site, passage_idx, id, url, text) from the crawled pages with status 200.
 
     Blocks without chrome are chunked; a page without such blocks gives the chunks
     of its content text. Numbering runs over a site in page order: the counts of
     pages are added up, so that no task holds more than a site's page counts.
     """
-    pages = crawl_pages(archive).filter((F.col("status") == 200) & (F.coalesce("html", F.lit("")) != ""))
+    pages = live(crawled(parsed(archive) if pages is None else pages))
     good = F.filter("blocks", lambda b: ~is_chrome(b))
     from_blocks = F.filter(F.flatten(F.transform("good", lambda b: chunks(b))), lambda c: ~is_chrome(c) & (F.length(c) >= BLOCK_CHARS))
     from_root = F.filter(chunks(F.col("root_text")), lambda c: ~is_chrome(c))
     order = F.struct(F.coalesce("crawl_idx", F.lit(2**31 - 1)), "page_id").alias("page_idx")
     distinct = F.size("good") > 0
-    texts = features(pages).select("page_id", good.alias("good"), "root_text").select("page_id", F.when(distinct, from_blocks).otherwise(from_root).alias("texts"), distinct.alias("distinct"))
-    rows = texts.join(pages.select("page_id", "site", "page", order), "page_id").select("site", "page_idx", "page", "distinct", F.posexplode("texts").alias("i", "text"))
+    texts = pages.select("site", "page", order, good.alias("good"), "root_text").select("site", "page", "page_idx", F.when(distinct, from_blocks).otherwise(from_root).alias("texts"), distinct.alias("distinct"))
+    rows = texts.select("site", "page_idx", "page", "distinct", F.posexplode("texts").alias("i", "text"))
     first = W.partitionBy("site", "page_idx", F.lower("text")).orderBy("i")
     kept = rows.withColumn("rn", F.row_number().over(first)).filter((F.col("rn") == 1) | ~F.col("distinct")).persist(StorageLevel.MEMORY_AND_DISK)
     per_page = kept.groupBy("site", "page_idx").agg(F.count("*").alias("n"))
@@ -127,21 +127,27 @@ def indexed_urls(texts: DataFrame, k: int = LISTED_URLS) -> DataFrame:
     return distinct.withColumn("n", F.row_number().over(W.partitionBy("site").orderBy("url"))).filter(F.col("n") <= k).select("site", "n", "url")
 
 
+#: Texts that are embedded at a time, and characters of each that a model is given (fixed values).
+EMBED_BATCH, EMBED_CHARS = 100, 2000
 #: Query vectors that are compared with all vectors at a time.
 QUERY_BLOCK = 2048
 
 
 def _nearest(ids: np.ndarray, matrix: np.ndarray, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        near = np.empty((len(ids), 0))
+        names = np.empty((len(ids), 0), dtype=np.int64)
         for pdf in batches:
             vectors = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"]])
             vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-            cosine = matrix @ vectors.T
-            keep = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
-            best.append((np.repeat(ids, keep.shape[1]), pdf["vec_id"].to_numpy()[keep].ravel(), np.take_along_axis(cosine, keep, 1).ravel()))
-        if best:
-            yield pd.DataFrame({"query_id": np.concatenate([x[0] for x in best]), "vec_id": np.concatenate([x[1] for x in best]), "cosine": np.concatenate([x[2] for x in best])})
+            near = np.concatenate([near, matrix @ vectors.T], axis=1)
+            names = np.concatenate([names, np.broadcast_to(pdf["vec_id"].to_numpy(), (len(ids), len(pdf)))], axis=1)
+            if near.shape[1] > k:
+                # Ties at the edge go to the lower vec_id, as in the final ranking.
+                keep = np.lexsort((names, -np.round(near, 9)), axis=1)[:, :k]
+                near, names = np.take_along_axis(near, keep, 1), np.take_along_axis(names, keep, 1)
+        if near.shape[1]:
+            yield pd.DataFrame({"query_id": np.repeat(ids, near.shape[1]), "vec_id": names.ravel(), "cosine": near.ravel()})
 
     return run
 
@@ -149,8 +155,8 @@ def _nearest(ids: np.ndarray, matrix: np.ndarray, k: int):
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = VECTOR_K) -> DataFrame:
     """(query_id, vec_id, cosine, rank): the ``k`` vectors of the greatest cosine for each query vector.
 
-    Exact: blocks of queries pass over all vectors, each task keeps its own best
-    ``k``. A block has a fixed size, so what is sent to the tasks is bounded.
+    Exact: blocks of queries pass over all vectors, each task keeps one running list of
+    its best ``k`` for each query. A block has a fixed size, so what is sent to the tasks is bounded.
     Null vectors are left out; ties go to the lower vec_id.
     """
     spark = vectors.sparkSession
@@ -224,17 +230,59 @@ def verbatim(excerpt: Column, page_text: Column) -> Column:
     return F.coalesce((squeezed(excerpt) != "") & F.contains(squeezed(page_text), squeezed(excerpt)), F.lit(False))
 
 
-def answers(texts: DataFrame, pages: DataFrame, questions: DataFrame, picks: DataFrame | None = None) -> DataFrame:
+def embedded(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]], keys: list[str]) -> DataFrame:
+    """(keys..., embedding) of texts (keys..., text) by a function that embeds a list of texts; what it fails on has no vector."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.select(*keys).schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), EMBED_BATCH):
+                part = pdf.iloc[at : at + EMBED_BATCH]
+                try:
+                    found = [list(map(float, v)) for v in embed(part["text"].tolist())]
+                except Exception:  # noqa: BLE001 - any failure of a model leaves the words' list alone
+                    continue
+                yield part[keys].assign(embedding=found)
+
+    return texts.select(*keys, F.substring(F.coalesce("text", F.lit("")), 1, EMBED_CHARS).alias("text")).mapInPandas(run, f"{schema}, embedding array<double>")
+
+
+def nearest_of_site(vectors: DataFrame, questions: DataFrame, k: int = VECTOR_K) -> DataFrame:
+    """(site, qid, id, rank, score): the passages of a site whose vectors are nearest to each of its questions."""
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+    a = questions.select("site", "qid", F.col("embedding").cast("array<double>").alias("q"))
+    b = vectors.select("site", F.col("passage_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    scored = b.join(a, "site").select("site", "qid", "id", (dot / F.greatest(norm(F.col("q")) * norm(F.col("v")), F.lit(1e-12))).alias("score"))
+    best = W.partitionBy("site", "qid").orderBy(F.desc(F.round("score", 9)), "id")
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def answers(
+    texts: DataFrame, pages: DataFrame, questions: DataFrame, picks: DataFrame | Callable[[DataFrame], DataFrame] | None = None, vectors: DataFrame | None = None, question_vectors: DataFrame | None = None
+) -> DataFrame:
     """(site, qid, query, url, excerpt): the verbatim answer to each question, or nulls.
 
-    ``texts``: (site, passage_id, url, text); ``pages``: (site, url, visible_text);
-    ``questions``: (site, qid, query).
+    ``texts``: (site, passage_id, url, text); ``pages``: (site, url, visible_text), or
+    (page_id, site, url, html), of which only the pages of chosen texts are then parsed;
+    ``questions``: (site, qid, query). With ``vectors`` (site, passage_id, embedding) and
+    ``question_vectors`` (site, qid, embedding) the list of the nearest is fused with that
+    of the words. ``picks``: see ``picked``; or a function from the ranked texts to picks.
     """
-    ranked = bm25(texts, questions, LEXICAL_K).filter(F.col("rank") <= FUSED_K)
+    lexical = bm25(texts, questions, LEXICAL_K).withColumnRenamed("passage_id", "id")
+    if vectors is not None and question_vectors is not None:
+        ranked = fused(lexical, nearest_of_site(vectors, question_vectors), by=["site", "qid"]).withColumnRenamed("id", "passage_id")
+    else:
+        ranked = lexical.filter(F.col("rank") <= FUSED_K).withColumnRenamed("id", "passage_id").withColumn("vector", F.lit(False))
     named = ranked.join(texts.select("site", "passage_id", "url", "text"), ["site", "passage_id"])
     top = named.filter("rank = 1").join(questions.select("qid", "query"), "qid")
-    fit = top.filter(~abstains(F.col("query"), F.col("text"), F.col("score"), F.col("coverage"), F.lit(False))).select("qid")
+    fit = top.filter(~abstains(F.col("query"), F.col("text"), F.col("score"), F.col("coverage"), F.col("vector"))).select("qid")
+    if callable(picks):
+        picks = picks(named.join(questions.select("qid", "query"), "qid").join(fit, "qid", "left_semi"))
     chosen = named.join(fit, "qid", "left_semi").join(picked(ranked, picks), ["qid", "rank"])
+    if "html" in pages.columns:
+        cited = chosen.select("site", "url").distinct()
+        pages = features(pages.join(cited, ["site", "url"], "left_semi").withColumn("page", F.col("url")), "site string, url string").select("site", "url", F.col("text").alias("visible_text"))
     quoted = (
         chosen.join(pages.select("site", "url", "visible_text"), ["site", "url"])
         .filter(verbatim(F.col("text"), F.col("visible_text")))

@@ -49,8 +49,8 @@ def local_hint_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def internal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _archive(spark, sf_dir).withColumn("page", page_url())
-    return features(pages).select("page_id", F.filter("anchors", lambda a: a["has_href"]).alias("out")).join(pages.select("page_id", "page"), "page_id").select("page_id", audit.internal_links(F.col("out"), F.col("page")).cast(long).alias("n_internal"))
+    pages = features(_archive(spark, sf_dir).withColumn("page", page_url()), "page string")
+    return pages.select("page_id", "page", F.filter("anchors", lambda a: a["has_href"]).alias("out")).select("page_id", audit.internal_links(F.col("out"), F.col("page")).cast(long).alias("n_internal"))
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,10 +146,11 @@ def sitemap_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Redirect hops as edges: how many hops lead from a requested address to each later one."""
-    hops = _archive(spark, sf_dir).filter(F.size("redirect_chain") > 0).select(F.col("page_id").cast("string").alias("site"), F.concat("redirect_chain", F.array("final_url")).alias("chain"))
-    pairs = hops.select("site", F.posexplode(F.slice("chain", 1, 20)).alias("i", "source"), "chain").select("site", "source", F.try_element_at("chain", F.col("i") + 2).alias("target")).filter("target IS NOT NULL").distinct()
-    return crawl.reachable(pairs, hops.select("site", F.col("chain")[0].alias("node")), depth=6)
+    """The addresses that links within a site lead to from its start."""
+    links = features(_archive(spark, sf_dir).withColumn("page", page_url()), "page string, site string")
+    edges = links.select("site", urls.normalize(F.col("page")).alias("source"), F.explode("targets").alias("target")).filter(urls.host(F.col("target")) == F.col("site")).distinct()
+    starts = table(spark, sf_dir, "sites").filter("start_url IS NOT NULL").select("site", urls.normalize(F.col("start_url")).alias("node"))
+    return crawl.reachable(edges, starts).select("site", "node")
 
 
 def crawl_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,19 +256,14 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words' and the vectors' lists of the queries fused; vector ids are read as document ids."""
-    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("site", F.lit("all")).select("site", F.col("doc_id").alias("passage_id"), "text")
-    asked = spark.createDataFrame([("all", "0", "mean table of weight"), ("all", "50", "fit the small tree"), ("all", "100", "load the data file")], "site string, qid string, query string")
-    lexical = retrieval.bm25(docs, asked).select("qid", F.col("passage_id").alias("id"), "rank", "score", "coverage")
-    vector = _vectors(spark, sf_dir).filter(F.col("query_id").isin(0, 50, 100)).select(F.col("query_id").cast("string").alias("qid"), F.col("vec_id").alias("id"), "rank", F.col("cosine").alias("score"))
-    return retrieval.fused(lexical, vector, by=["qid"]).select("qid", "id", F.col("rank").cast(long), F.round("fusion", 9).alias("fusion"), "vector")
-
-
-def rank_fusion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both lists fused for every vector whose id 50 divides; its question is the text of the document of that id."""
-    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("site", F.lit("all")).select("site", F.col("doc_id").alias("passage_id"), "text")
-    wanted = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("passage_id"))
-    asked = docs.join(wanted, "passage_id", "left_semi").select("site", F.col("passage_id").cast("string").alias("qid"), F.col("text").alias("query"))
+    """The words' and the vectors' lists fused for every vector whose id 50 divides; vector ids are read as document ids.
+
+    The words asked for are those of the path of the document of that id.
+    """
+    whole = table(spark, sf_dir, "documents")
+    docs = dealt(whole.select("doc_id", "text")).withColumn("site", F.lit("all")).select("site", F.col("doc_id").alias("passage_id"), "text")
+    wanted = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("doc_id"))
+    asked = whole.filter("path IS NOT NULL").join(wanted, "doc_id", "left_semi").select(F.lit("all").alias("site"), F.col("doc_id").cast("string").alias("qid"), F.col("path").alias("query"))
     lexical = retrieval.bm25(docs, asked).select("qid", F.col("passage_id").alias("id"), "rank", "score", "coverage")
     vector = _vectors(spark, sf_dir).select(F.col("query_id").cast("string").alias("qid"), F.col("vec_id").alias("id"), "rank", F.col("cosine").alias("score"))
     return retrieval.fused(lexical, vector, by=["qid"]).select("qid", "id", F.col("rank").cast(long), F.round("fusion", 9).alias("fusion"), "vector")
@@ -288,24 +284,23 @@ def abstain_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answers_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the page of each stored answer holds its excerpt."""
-    pages = _archive(spark, sf_dir).withColumn("page", page_url())
-    shown = features(pages).join(pages.select("page_id", "page"), "page_id").select("page", "text")
     asked = table(spark, sf_dir, "answer").filter("url IS NOT NULL").select("answer_id", "url", "excerpt")
+    cited = asked.select(F.col("url").alias("page")).distinct()
+    shown = features(_archive(spark, sf_dir).withColumn("page", page_url()).join(cited, "page", "left_semi"), "page string").select("page", "text")
     met = asked.join(shown, asked["url"] == shown["page"], "left")
     return met.groupBy("answer_id").agg(F.bool_or(retrieval.verbatim(F.col("excerpt"), F.col("text"))).alias("verbatim"))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question answered from the stored passages."""
-    pages = crawl_pages(_archive(spark, sf_dir))
-    shown = features(pages).join(pages.select("page_id", "site", F.col("page").alias("url")), "page_id").select("site", "url", F.col("text").alias("visible_text"))
-    return retrieval.answers(table(spark, sf_dir, "passages"), shown, _questions(spark, sf_dir))
+    pages = crawl_pages(_archive(spark, sf_dir)).select("page_id", "site", F.col("page").alias("url"), "html")
+    return retrieval.answers(table(spark, sf_dir, "passages"), pages, _questions(spark, sf_dir))
 
 
 _QUERIES = (
     url_normalized, site_pages, page_admission, link_edges, local_hint_links, internal_links, page_text, page_head, headings, schema_types, audit_page_rules, audit_duplicates, audit_site_rules,
     audit_site_schema, audit_findings, audit_finding_keys, audit_summary, audit_rule_cases, robots_hints, robots_allowed, citation_links, sitemap_closure, link_reachability, crawl_replay, phones, nap_normalized,
-    name_norm, nap_judged, nap_phone_report, nap_places, nap_report, nap_name_mentions, passages_built, chunks, passage_chunks, chrome_flags, term_df, bm25_topk, search_top, indexed_urls, vector_topk, rank_fusion, rank_fusion_all,
+    name_norm, nap_judged, nap_phone_report, nap_places, nap_report, nap_name_mentions, passages_built, chunks, passage_chunks, chrome_flags, term_df, bm25_topk, search_top, indexed_urls, vector_topk, rank_fusion,
     abstain_cases, answers_verbatim, answers,
 )
 

@@ -113,9 +113,10 @@ _DUPLICATES = """
 texts AS (
   SELECT site, page, crawl_idx, page_id, 'duplicate_title' AS metric, 'high' AS severity, lower(trim(title)) AS t FROM ok
   UNION ALL SELECT site, page, crawl_idx, page_id, 'duplicate_h1', 'low', lower(trim(unnest(h1))) FROM ok),
+per_page AS (SELECT site, metric, severity, t, page, min((crawl_idx, page_id)) AS f FROM texts WHERE t <> '' GROUP BY site, metric, severity, t, page),
 dups AS (
-  SELECT site, metric, severity, arg_min(page, (crawl_idx, page_id)) AS page, count(DISTINCT page) || ' addresses share: ' || t AS evidence
-  FROM texts WHERE t <> '' GROUP BY site, metric, severity, t HAVING count(DISTINCT page) > 1)"""
+  SELECT site, metric, severity, arg_min(page, f) AS page, count(*) || ' addresses share: ' || t || ' (' || array_to_string(list(page ORDER BY f, page)[1:6], ', ') || ')' AS evidence
+  FROM per_page GROUP BY site, metric, severity, t HAVING count(*) > 1)"""
 _SCHEMA = f"""
 typed AS (
   SELECT site, page_id, lower(regexp_extract(regexp_extract(html, '(?s)<script type="application/ld\\+json">(.*?)</script>', 1), '"@type":"([^"]*)"', 1)) AS t FROM ok),
@@ -259,13 +260,11 @@ found AS (SELECT site, target, min(o) AS o FROM every WHERE regexp_matches(lower
 SELECT site, row_number() OVER (PARTITION BY site ORDER BY o) - 1 AS idx, target FROM found QUALIFY idx < 8""",
     "sitemap_closure": """
 SELECT site, CAST(idx AS BIGINT) AS idx, target FROM (VALUES ('a.com', 0, 'https://a.com/x'), ('a.com', 1, 'https://www.a.com/z'), ('a.com', 2, 'https://a.com/w'), ('c.com', 0, 'https://c.com/bare')) AS t(site, idx, target)""",
-    "link_reachability": """
-WITH RECURSIVE hops AS (SELECT CAST(page_id AS VARCHAR) AS site, list_append(redirect_chain, final_url) AS chain FROM crawl_archive WHERE len(redirect_chain) > 0),
-pairs AS (SELECT DISTINCT site, chain[i] AS source, chain[i + 1] AS target FROM (SELECT site, chain, unnest(generate_series(1, len(chain) - 1)) AS i FROM hops)),
-walk AS (
-  SELECT site, chain[1] AS node, 0 AS depth FROM hops
-  UNION ALL SELECT w.site, p.target, w.depth + 1 FROM walk w JOIN pairs p ON p.site = w.site AND p.source = w.node WHERE w.depth < 6)
-SELECT site, node, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY site, node""",
+    "link_reachability": f"""
+WITH RECURSIVE {_PAGES.strip()}, {_LINKS.strip()},
+edges AS (SELECT DISTINCT p.site, {_norm_url('p.page')} AS source, f.target FROM firsts f JOIN pages p USING (page_id) WHERE {_host('f.target')} = p.site),
+walk AS (SELECT site, {_norm_url('start_url')} AS node FROM sites WHERE start_url IS NOT NULL UNION SELECT w.site, e.target FROM walk w JOIN edges e ON e.site = w.site AND e.source = w.node)
+SELECT DISTINCT site, node FROM walk""",
     "phones": f"SELECT passage_id, trim(raw) AS raw, {_norm_phone('raw')} AS norm FROM (SELECT passage_id, unnest(regexp_extract_all(text, '{_PHONE}')) AS raw FROM passages)",
     "nap_normalized": f"SELECT value_id, field, {_norm_value('field', 'v')} AS norm FROM (SELECT field, unnest(\"values\") AS v, unnest(value_ids) AS value_id FROM nap_report)",
     "name_norm": f"SELECT raw, {_norm_name('raw')} AS norm FROM (SELECT c_name AS raw FROM customer UNION SELECT s_name || ', Inc.' FROM supplier)",
@@ -317,11 +316,11 @@ SELECT qid, passage_id, rank, url FROM lexical JOIN passages USING (passage_id)"
     "indexed_urls": "SELECT site, row_number() OVER (PARTITION BY site ORDER BY url) AS n, url FROM (SELECT DISTINCT site, url FROM passages WHERE url IS NOT NULL) QUALIFY n <= 40",
     "vector_topk": f"WITH {_COSINES.strip()} SELECT query_id, vec_id, round(cosine, 4) AS cosine, rank FROM cosines",
     "rank_fusion": f"""
-WITH {_bm25("SELECT 'all' AS site, doc_id AS passage_id, coalesce(text, '') AS text FROM documents", "SELECT 'all' AS site, q AS qid, t AS query FROM (VALUES ('0', 'mean table of weight'), ('50', 'fit the small tree'), ('100', 'load the data file')) AS v(q, t)", 12).strip()},
+WITH {_bm25("SELECT 'all' AS site, doc_id AS passage_id, coalesce(text, '') AS text FROM documents", "SELECT 'all' AS site, CAST(doc_id AS VARCHAR) AS qid, path AS query FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id % 50 = 0 AND path IS NOT NULL", 12).strip()},
 {_COSINES.strip()},
 both_ AS (
   SELECT qid, passage_id AS id, rank, false AS vector FROM lexical
-  UNION ALL SELECT CAST(query_id AS VARCHAR), vec_id, rank, true FROM cosines WHERE query_id IN (0, 50, 100)),
+  UNION ALL SELECT CAST(query_id AS VARCHAR), vec_id, rank, true FROM cosines),
 merged AS (SELECT qid, id, sum(1::DOUBLE / (60 + rank)) AS fusion, min((vector, rank)) AS f, max(vector) AS vector FROM both_ GROUP BY qid, id)
 SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY fusion DESC, f) AS rank, round(fusion, 9) AS fusion, vector FROM merged QUALIFY rank <= 8""",
     "abstain_cases": """

@@ -29,6 +29,8 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
 
 def dealt(df: DataFrame) -> DataFrame:
     """At least as many tasks as cores: an input of few splits is dealt out anew, a large one passes as it is."""
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

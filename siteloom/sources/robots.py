@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.urls import normalized
+from ..session import cut
 
 AGENT = "siteloom-audit/1.0"
 
@@ -98,19 +99,21 @@ def sitemap_edges(sitemaps: DataFrame) -> DataFrame:
     return sitemaps.select("site", "url", "xml", base.alias("base")).mapInPandas(_entry_batches, "site string, url string, nested boolean, entry_idx int, target string")
 
 
-def sitemap_pages(seeds: DataFrame, edges: DataFrame, limit: int, depth: int = 5) -> DataFrame:
+def sitemap_pages(seeds: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
     """(site, target): the distinct page addresses of a site that are reached from its sitemaps, ``limit`` a site.
 
-    ``seeds``: (site, url, seed_idx). Breadth first over nested sitemaps to a
-    bounded depth; a sitemap counts once, at its first place.
+    ``seeds``: (site, url, seed_idx). Breadth first over nested sitemaps until
+    none is new; a sitemap counts once, at its first place.
     """
     from pyspark.sql import Window as W
 
-    level = seeds.select("site", "url", F.array(F.lit(0), F.col("seed_idx")).alias("place"))
-    reached = level
-    for step in range(1, depth + 1):
-        nested = edges.filter("nested").join(level, ["site", "url"]).select("site", F.col("target").alias("url"), F.concat(F.array(F.lit(step)), F.slice("place", 2, 100), F.array("entry_idx")).alias("place"))
-        level = nested.join(reached, ["site", "url"], "left_anti").groupBy("site", "url").agg(F.min("place").alias("place"))
+    level = seeds.groupBy("site", "url").agg(F.array(F.lit(0), F.min("seed_idx")).alias("place"))
+    reached, step = level, 0
+    inner = edges.filter("nested").limit(1).count() > 0
+    while inner and level.limit(1).count():
+        step += 1
+        nested = edges.filter("nested").join(level, ["site", "url"]).select("site", F.col("target").alias("url"), F.concat(F.array(F.lit(step)), F.slice("place", 2, step), F.array("entry_idx")).alias("place"))
+        level = cut(nested.join(reached, ["site", "url"], "left_anti").groupBy("site", "url").agg(F.min("place").alias("place")))
         reached = reached.unionByName(level)
     maps = reached.groupBy("site", "url").agg(F.min("place").alias("place"))
     host = F.regexp_replace(F.regexp_extract("target", r"^[a-z]+://([^/?#]*)", 1), r"^www\.", "")

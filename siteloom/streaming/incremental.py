@@ -6,30 +6,14 @@ on a table; groups of duplicates and site rules stay with the batch audit.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import SCHEMA, _batches
-from ..operators.audit import fact_columns, internal_links, page_findings
-from ..sources.archive import crawl_pages
+from ..operators.audit import ABOUT, fact_columns, internal_links, page_findings
+from ..operators.pages import crawled, parsed
 
 
 def stream_findings(stream: DataFrame) -> DataFrame:
     """Findings of single pages for every page that arrives with html (a micro-batch keeps no state)."""
-    pages = crawl_pages(stream).filter(F.col("admission") == "audited")
-    about = ["site", "crawl_idx", "page", "url", "status", "error", "x_robots", "chain"]
-
-    def both(batches):  # noqa: ANN001, ANN202
-        for pdf in batches:
-            parsed = next(iter(_batches([pdf[["page_id", "page", "html"]]])))
-            yield pd.concat([parsed.reset_index(drop=True), pdf[about].reset_index(drop=True)], axis=1)
-
-    rows = pages.select(
-        "page_id", "page", "html", "site", "crawl_idx", "url", "status", "error",
-        F.lower(F.coalesce(F.try_element_at("headers", F.lit("x-robots-tag")), F.lit(""))).alias("x_robots"), F.coalesce("redirect_chain", F.array().cast("array<string>")).alias("chain"),
-    )
-    extra = "site string, crawl_idx int, page string, url string, status int, error string, x_robots string, chain array<string>"
-    parsed = rows.mapInPandas(both, f"{SCHEMA}, {extra}")
-    known = parsed.select(*about, *fact_columns()).withColumn("admission", F.lit("audited"))
-    return page_findings(known.withColumn("n_internal", internal_links(F.col("out"), F.col("page"))).drop("out"))
+    pages = crawled(parsed(stream)).filter(F.col("admission") == "audited").select(*ABOUT, *fact_columns())
+    return page_findings(pages.withColumn("n_internal", internal_links(F.col("out"), F.col("page"))).drop("out"))

@@ -69,8 +69,54 @@ def test_data_source_reads(spark, monkeypatch):
     assert sorted(r.url for r in rows) == ["http://127.0.0.1:9/x", "http://127.0.0.1:9/y"] and {r.status for r in rows} == {0}
 
 
-@pytest.mark.parametrize("depth", [0, 2])
+@pytest.mark.parametrize("depth", [0, 2, None])
 def test_reachability(spark, depth):
     edges = spark.createDataFrame([("s", "a", "b"), ("s", "b", "c"), ("s", "c", "a"), ("t", "a", "z")], "site string, source string, target string")
     got = crawl.reachable(edges, spark.createDataFrame([("s", "a")], "site string, node string"), depth).collect()
-    assert {(r.node, r.depth) for r in got} == {("a", 0), ("b", 1), ("c", 2)} if depth else {("a", 0)}
+    assert {(r.node, r.depth) for r in got} == {("a", 0), ("b", 1), ("c", 2)} if depth != 0 else {("a", 0)}
+
+
+def web(pages):
+    """A transport over a dict of addresses; what it lacks is not found."""
+
+    def fetch(url, timeout):
+        kind, body = pages.get(url, ("", None))
+        if body is None:
+            return 404, url, {"Content-Type": "text/html"}, b"<p>gone", []
+        return 200, url, {"Content-Type": kind}, body.encode(), []
+
+    return fetch
+
+
+SITE = {
+    "https://a.com/": ("text/html", '<title>Acme - Home</title><a href="/a">a</a><a href="/contact">c</a><a href="/no">n</a><a href="https://www.yelp.com/biz/acme">y</a><a href="https://b.com/">b</a>'),
+    "https://a.com/a": ("text/html", '<p>x<a href="/deep">d</a>'), "https://a.com/contact": ("text/html", "<p>We open at 9 am and close at 5 pm on every day of the week, says the door of Acme."), "https://a.com/deep": ("text/html", "<p>y"),
+    "https://a.com/secret": ("text/html", "<p>s"), "https://a.com/listed": ("text/html", "<p>l"), "https://www.yelp.com/biz/acme": ("text/html", "<p>Acme"),
+    "https://a.com/robots.txt": ("text/plain", "User-agent: *\nDisallow: /secret\nSitemap: https://a.com/maps.xml"),
+    "https://a.com/maps.xml": ("text/xml", "<sitemapindex><sitemap><loc>https://a.com/m1.xml</loc></sitemap></sitemapindex>"),
+    "https://a.com/m1.xml": ("text/xml", "<urlset><url><loc>https://a.com/listed</loc></url><url><loc>https://a.com/secret</loc></url></urlset>"),
+}
+
+
+def test_live_crawl_is_the_replay_of_its_archive(spark, tmp_path):
+    from siteloom.__main__ import main
+    from siteloom.sources import live
+
+    archive, sites = live.crawl_sites(spark.createDataFrame([("https://a.com",)], "start_url string"), 7, web(SITE), 0)
+    about = sites.first()
+    assert (about.site, about.robots_status, about.sitemap_urls) == ("a.com", 200, ["https://a.com/listed", "https://a.com/secret"])
+    got = [(r.url, r.status) for r in archive.filter("NOT from_citation").orderBy("crawl_idx").collect()]
+    assert got == [("https://a.com/", 200), ("https://a.com/contact", 200), ("https://a.com/a", 200), ("https://a.com/no", 404), ("https://a.com/listed", 200), ("https://a.com/deep", 200)]
+    assert [r.url for r in archive.filter("from_citation").collect()] == ["https://www.yelp.com/biz/acme"]
+    assert [r.url for r in archive.filter("from_sitemap").collect()] == ["https://a.com/listed"]
+    again = crawl.replay(archive.filter("NOT from_citation"), sites, 6).orderBy("idx").collect()
+    assert [r.url for r in again] == [u for u, _ in got]
+    assert main(["--url", "https://a.com", "--query", "when do you open", "--out", str(tmp_path), "--master", "local[2]"], web(SITE), 0) == 0
+    assert "9 am" in (tmp_path / "answer.json").read_text()
+
+
+def test_many_dead_addresses_do_not_end_a_crawl(spark, pages):
+    links = "".join(f'<a href="/x{k}">d</a>' for k in range(60))
+    archive = pages({"html": links + '<a href="/live">l</a>', "url": "https://a.com/"}, *({"html": "<p>", "url": f"https://a.com/x{k}", "final_url": "https://a.com/"} for k in range(60)), {"html": "<p>l", "url": "https://a.com/live"})
+    sites = spark.createDataFrame([("a.com", "https://a.com/", "a.com", None, 404, None, None)], SITES)
+    assert [r.url for r in crawl.replay(archive, sites, 2).orderBy("idx").collect()] == ["https://a.com/", "https://a.com/live"]
