@@ -98,12 +98,13 @@ def _summaries(share: float):
 
 def excessive_occurrences(passages: DataFrame, min_addresses: int = MIN_ADDRESSES, min_share: float = MIN_SHARE) -> DataFrame:
     """(passage_id, line_no) of every occurrence of an excessive line."""
-    python_ready(passages.sparkSession)
     spark = passages.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     lines = passage_lines(passages)
     merged = lines.filter(F.col("address").isNotNull()).select("source", "line", "address").mapInPandas(_summaries(min_share), "source long, line long, n long").groupBy("source", "line").agg(F.sum("n").alias("n"))
+    # Rows of three numbers come in large batches; the summaries are made here, so fat rows elsewhere are not affected.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     merged = cut(merged)
+    python_ready(spark)
     need = (
         passages.filter(F.col("url").isNotNull())
         .select(source_key().alias("source"), F.xxhash64("url").alias("address"))
