@@ -239,7 +239,19 @@ def latent_space(found: DataFrame, idf: np.ndarray, own: np.ndarray, rank: int =
     return (basis @ turn[:, order]).astype(np.float32)
 
 
-def leak(doc: np.ndarray, item: np.ndarray, names: list[bool]) -> tuple[int, int] | None:
+def _beginnings(ids: list[int], pairs: set[tuple[int, int]]) -> list[int]:
+    """Places of a text at which a run may begin, by the pairs of neighbours that it shares with the item.
+
+    The first ``LEAST`` words of a run hold three changes at most, each of which breaks
+    two pairs, and stand within so many words of the text and three more.
+    """
+    shared = np.concatenate(([0], np.cumsum([pair in pairs for pair in zip(ids, ids[1:])], dtype=np.int64)))
+    at = np.arange(max(0, len(ids) - LEAST + 4))
+    ends = np.minimum(at + LEAST + 2, len(ids) - 1)
+    return at[shared[ends] - shared[at] >= LEAST - 1 - 2 * 3].tolist() if len(at) else []
+
+
+def leak(doc: np.ndarray, item: np.ndarray, names: list[bool], pairs: set[tuple[int, int]] | None = None) -> tuple[int, int] | None:
     """(words, changed words) of a run of ``item`` in ``doc`` of at least ``LEAST`` words with one in eight changed at most, or None.
 
     A run begins and ends with equal words. From each place where one can begin, the
@@ -248,14 +260,16 @@ def leak(doc: np.ndarray, item: np.ndarray, names: list[bool]) -> tuple[int, int
     up: without its beginning the rest of such a run is long enough and has a place to
     begin of its own.
     """
+    own, ids = item.tolist(), doc.tolist()
+    begins = _beginnings(ids, set(zip(own, own[1:])) if pairs is None else pairs)
+    if not begins:
+        return None
     places = defaultdict(list)
-    own = item.tolist()
     for j, w in enumerate(own):
         places[w].append(j)
-    ids = doc.tolist()
     n, m = len(ids), len(own)
-    for i, w in enumerate(ids):
-        for j in places.get(w, ()):
+    for i in begins:
+        for j in places.get(ids[i], ()):
             if m - j < LEAST or (i and j and ids[i - 1] == own[j - 1]):
                 continue
             level: dict[int, tuple[int, tuple[int, ...]]] = {i - j: (j, ())}
@@ -306,7 +320,7 @@ def _search(shared, cosine: float):
                 for at in range(0, len(z), BLOCK):
                     seen.update(np.unique(owners[np.nonzero((z[at : at + BLOCK] @ latent.T >= cosine).any(axis=0))[0]]).tolist())
                 for k in seen:
-                    if len(mine & pairs[k]) >= LEAST_PAIRS and leak(doc, texts[k], names[k]):
+                    if len(mine & pairs[k]) >= LEAST_PAIRS and leak(doc, texts[k], names[k], pairs[k]):
                         out.update((item, doc_id) for item in ids[k])
             yield pd.DataFrame(sorted(out), columns=["item_id", "doc_id"])
 
