@@ -284,13 +284,15 @@ def _legacy(stretch: str) -> tuple[str, tuple[str, str]] | None:
 
 
 #: What no sound text shows: odd characters, letters of two scripts in a word, signs and
-#: capitals after letters they do not follow. Texts without it are left alone.
+#: capitals after letters they do not follow. Texts without it are left alone. It begins
+#: with the character beyond ASCII that all of it has, so that plain text is skipped.
 SCREEN = (
-    "[^\u0000-\u007FäöüßÄÖÜéèêëàâîïôùûçœæÉÈÊÀÂÎÔÙÛÇŒáíóúñÁÍÓÚÑãõÃÕА-яЁё’‘“”„«»‹›…–—·•©®™€£§№¿¡ºª→←↑↓×✓★\u00A0"
-    "\u3000-\u30FF\u3400-\u9FFF\uFF00-\uFF60\uFFE5\uD800-\uDFFF\U00010000-\U0010FFFF]"
-    "|[À-ÿ]{3}|[À-ÿА-яЁё][^\u0000-\u007FÀ-ÿА-яЁё’”»«…–—\u3000-\u9FFF]|[À-ÿ][’”»«–—€£…][^\\s<]|[ÂÃâ][^\u0000-\u007FÀ-ÿ]"
-    "|[a-zß-ÿ][À-ÖØ-Þ]|[а-яё][А-ЯЁ]|[A-Za-zÀ-ÿ][А-яЁё]|[А-яЁё][A-Za-zÀ-ÿ]"
-    "|[îìí][ .,;<]|[ >][ìÈÉ][a-z]|[\u3400-\u9FFF][a-z]|[a-z][\u3400-\u9FFF](?![\u3000-\u9FFF])|[㐀-鿿][À-ÿ�]"
+    "[^\u0000-\u007F](?:"
+    "(?<=[^\u0000-\u007FäöüßÄÖÜéèêëàâîïôùûçœæÉÈÊÀÂÎÔÙÛÇŒáíóúñÁÍÓÚÑãõÃÕА-яЁё’‘“”„«»‹›…–—·•©®™€£§№¿¡ºª→←↑↓×✓★\u00A0"
+    "\u3000-\u30FF\u3400-\u9FFF\uFF00-\uFF60\uFFE5\uD800-\uDFFF\U00010000-\U0010FFFF])"
+    "|(?<=[À-ÿ])[À-ÿ]{2}|(?<=[À-ÿА-яЁё])[^\u0000-\u007FÀ-ÿА-яЁё’”»«…–—\u3000-\u9FFF]|(?<=[À-ÿ])[’”»«–—€£…][^\\s<]|(?<=[ÂÃâ])[^\u0000-\u007FÀ-ÿ]"
+    "|(?<=[a-zß-ÿ][À-ÖØ-Þ])|(?<=[а-яё][А-ЯЁ])|(?<=[A-Za-zÀ-ÿ][А-яЁё])|(?<=[А-яЁё])[A-Za-zÀ-ÿ]"
+    "|(?<=[îìí])[ .,;<]|(?<=[ >][ìÈÉ])[a-z]|(?<=[\u3400-\u9FFF])[a-z]|(?<=[a-z][\u3400-\u9FFF])(?![\u3000-\u9FFF])|(?<=[㐀-鿿])[À-ÿ�])"
 )
 _SCREEN = re.compile(SCREEN)
 

@@ -24,6 +24,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -48,8 +50,10 @@ _IMPLIED = frozenset(("li", "td", "tr", "dt", "dd"))
 _QUOTES = frozenset(("pre", "code", "samp", "kbd", "q", "textarea", "blockquote"))
 
 
-#: A start tag whose quotes are closed, and elements whose content the library reads in a way of its own.
-_START = re.compile(r"<([a-zA-Z][a-zA-Z0-9]*)(?:\s(?:[^>\"']|\"[^\"<>]*\"|'[^'<>]*')*)?>")
+#: A start tag whose quotes are closed; text and such a tag or an end tag after it; elements whose content the library reads in a way of its own.
+_TAG = r"([a-zA-Z][a-zA-Z0-9]*)(?:\s(?:[^>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)?"
+_START = re.compile(f"<{_TAG}>")
+_PIECE = re.compile(rf"([^<]*+)<(?:{_TAG}|/([a-zA-Z][-.a-zA-Z0-9:_]*)\s*)>")
 _RAW = frozenset(("script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes", "plaintext"))
 
 
@@ -68,6 +72,69 @@ class _Lines(HTMLParser):
     def updatepos(self, i: int, j: int) -> int:
         return j
 
+    def goahead(self, end: bool) -> None:
+        """Text and well-formed tags at once; the library goes on where that ends."""
+        if not end and not self.cdata_elem:
+            self.rawdata = self.rawdata[self._pieces(self.rawdata) :]
+        super().goahead(end)
+
+    def _pieces(self, data: str) -> int:
+        """Handles ``data`` in the library's order of events, up to the place that is returned."""
+        i, match = 0, _PIECE.match
+        while True:
+            m = match(data, i)
+            if m is not None:
+                text, tag, ended = m.groups()
+                if text and not self.skip:
+                    self.handle_data(unescape(text))
+                if ended is not None:
+                    self.handle_endtag(ended.lower())
+                    i = m.end()
+                    continue
+                tag = tag.lower()
+                if tag not in _RAW:
+                    i = m.end()
+                    if data[i - 2] == "/":
+                        self.handle_startendtag(tag, [])
+                    else:
+                        self.handle_starttag(tag, [])
+                    continue
+                at = m.end(1)
+            else:
+                at = data.find("<", i)
+                if at < 0:
+                    return i
+                if i < at and not self.skip:
+                    self.handle_data(unescape(data[i:at]))
+            i = self._markup(data, at)
+            if i < 0:
+                return at
+            if self.cdata_elem:
+                m = self.interesting.search(data, i) if self.skip else None
+                if m is None:
+                    return i
+                at, i = m.start(), self.parse_endtag(m.start())
+                if i < 0 or self.cdata_elem:
+                    return max(i, at)
+
+    def _markup(self, data: str, at: int) -> int:
+        """What the library makes of a ``<``: the place after it, negative if it wants more."""
+        after = data[at + 1 : at + 2]
+        if after.isascii() and after.isalpha():
+            return self.parse_starttag(at)
+        if after == "/":
+            return self.parse_endtag(at)
+        if data.startswith("!--", at + 1):
+            return self.parse_comment(at)
+        if after == "?":
+            return self.parse_pi(at)
+        if after == "!":
+            return self.parse_html_declaration(at)
+        if not after:
+            return -1
+        self.handle_data("<")
+        return at + 1
+
     def parse_starttag(self, i: int) -> int:
         """A well-formed start tag at once, without its attributes; anything else as the library does."""
         m = _START.match(self.rawdata, i)
@@ -114,10 +181,12 @@ class _Lines(HTMLParser):
         self.stack.append((tag, own))
 
     def _close(self, tag: str, implied: bool = False) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            name, own = self.stack[k]
+        stack = self.stack
+        for k in range(len(stack) - 1, -1, -1):
+            name, own = stack[k]
             if name == tag:
-                for name, own in reversed(self.stack[k:]):
+                while len(stack) > k:
+                    name, own = stack.pop()
                     if own is not None:
                         self.region = max(0, self.regions[own][1])
                     if name == "a":
@@ -126,7 +195,6 @@ class _Lines(HTMLParser):
                         self.skip = max(0, self.skip - 1)
                     if name in _QUOTES:
                         self.quotes = max(0, self.quotes - 1)
-                del self.stack[k:]
                 return
             if name in _SKIP or (own is not None and (implied or tag not in _REGION)):
                 return
@@ -143,22 +211,22 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.skip or not data or data.isspace():
             return
-        parts = data.split("\n")
-        for k, part in enumerate(parts):
+        line = self.open
+        for k, part in enumerate(data.split("\n")):
             text = part.strip()
             if not text:
                 continue
-            if self.open is None or self.open[0] != self.region or (k and text):
-                self.open = [self.region, [], 1, 0, 0, []]
-                self.lines.append(self.open)
-            self.open[1].append(text)
-            self.open[2] += self.tags
-            self.open[4] += self.opens
+            if line is None or k or line[0] != self.region:
+                self.open = line = [self.region, [], 1, 0, 0, []]
+                self.lines.append(line)
+            line[1].append(text)
+            line[2] += self.tags
+            line[4] += self.opens
             self.tags = self.opens = 0
             if self.link:
-                self.open[3] += len(text)
+                line[3] += len(text)
             if self.quotes:
-                self.open[5].append(text)
+                line[5].append(text)
 
 
 def page_lines(html: str | None) -> tuple[list[list], list[tuple[str, int]]]:
@@ -176,10 +244,14 @@ _RADIUS = int(3 * SIGMA)
 _KERNEL = np.exp(-0.5 * (np.arange(-_RADIUS, _RADIUS + 1) / SIGMA) ** 2)
 
 
+@lru_cache(maxsize=256)
+def _norm(n: int) -> np.ndarray:
+    return np.convolve(np.ones(n), _KERNEL)[_RADIUS : _RADIUS + n]
+
+
 def _smooth(values: np.ndarray) -> np.ndarray:
     """Gaussian smoothing over the order of the lines."""
-    inner = slice(_RADIUS, _RADIUS + len(values))
-    return np.convolve(values, _KERNEL)[inner] / np.convolve(np.ones(len(values)), _KERNEL)[inner]
+    return np.convolve(values, _KERNEL)[_RADIUS : _RADIUS + len(values)] / _norm(len(values))
 
 
 def _threshold(values: np.ndarray) -> float:
@@ -187,10 +259,11 @@ def _threshold(values: np.ndarray) -> float:
     low, high = float(values.min()), float(values.max())
     for _ in range(12):
         middle = (low + high) / 2
-        above, below = values[values > middle], values[values <= middle]
+        over = values > middle
+        above, below = values[over], values[~over]
         if not len(above) or not len(below):
             break
-        new = float(below.mean()), float(above.mean())
+        new = float(np.add.reduce(below)) / len(below), float(np.add.reduce(above)) / len(above)
         if new == (low, high):
             break
         low, high = new

@@ -366,7 +366,10 @@ javascriptを有効にしてください
 }
 
 _TOKEN = re.compile(r"\x01\w+\x02|[぀-ヿ㐀-鿿ー]+|[^\W\d_]+(?:['’][^\W\d_]+)*")
-_MARKS = re.compile(r"[{}%$@\[<*]|__")
+#: The same in plain text: letters of ASCII in lower case, blanks for all else.
+_ASCII_TOKEN = re.compile(r"\x01\w+\x02|[a-z]+(?:'[a-z]+)*")
+_PLAIN = "".join(c.lower() if c.isalpha() else " " for c in map(chr, range(128)))
+_MARKS = re.compile(r"[{}%$@\[<*_]")
 #: Paths and calls, which differ from server to server.
 _CODE = re.compile(r"\S*/\S*/\S*|\w+\([^()\s]*\)")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -386,8 +389,10 @@ def tokens(text: str) -> list[str]:
         text = _MARKER.sub(_marked, text)
     if "/" in text or "(" in text:
         text = _CODE.sub(" ", text)
+    if text.isascii():
+        return _ASCII_TOKEN.findall(text.lower()) if "'" in text or "\x01" in text else text.translate(_PLAIN).split()
     words = _TOKEN.findall(text.lower().replace("’", "'"))
-    if text.isascii() or not _CJK.search(text):
+    if not _CJK.search(text):
         return words
     out: list[str] = []
     for word in words:
@@ -426,6 +431,21 @@ def _telling() -> dict[str, list[int]]:
     return dict(index)
 
 
+@lru_cache(maxsize=1)
+def _placeholders() -> dict[str, list[int]]:
+    """The part of the retrieving index that leads to placeholders."""
+    exemplars, _ = _index()
+    slots = {t: [k for k in found if exemplars[k][0] == "placeholder"] for t, found in _telling().items()}
+    return {t: found for t, found in slots.items() if found}
+
+
+@lru_cache(maxsize=1)
+def _retrieving() -> tuple[frozenset[str], frozenset[str], dict[str, int]]:
+    """All tokens of exemplars, those that retrieve, and the tokens of the smallest exemplar that each of these retrieves."""
+    sets, telling = _sets(), _telling()
+    return frozenset(_index()[1]), frozenset(telling), {t: min(len(sets[k]) for k in found) for t, found in telling.items()}
+
+
 @lru_cache(maxsize=1)
 def _sets() -> list[frozenset[str]]:
     return [frozenset(bag) for _, bag in _index()[0]]
@@ -441,23 +461,44 @@ def _pool() -> tuple[frozenset[str], frozenset[str]]:
 def _in_pool(words: set[str]) -> bool:
     """Whether a line may lie in the pool: enough of its words do, none weighed."""
     every, telling = _pool()
-    return sum(w[:STEM] in telling for w in words) >= LEAST_POOLED and sum(w[:STEM] in every for w in words) >= 0.6 * len(words)
+    stems = [w[:STEM] for w in words]
+    return sum(map(every.__contains__, stems)) >= 0.6 * len(words) and sum(map(telling.__contains__, stems)) >= LEAST_POOLED
 
 
 def _retrieved(bag: Counter | set[str]) -> set[int]:
     """Exemplars that share enough tokens with a window to be worth weighing."""
-    telling = _telling()
-    words = set(bag)
-    hits = words & telling.keys()
+    return set(_shared(_retrieving()[0].intersection(bag), len(bag)))
+
+
+def _shared(known: set[str] | frozenset[str], size: int) -> Iterator[int]:
+    """The same by the exemplar tokens of a window of ``size`` different tokens."""
+    _, telling, smallest = _retrieving()
+    hits = known & telling
     if not hits:
-        return set()
-    sets, least = _sets(), 0.4 * len(words)
-    out = set()
-    for k in {k for t in hits for k in telling[t]}:
-        shared = len(words & sets[k])
+        return
+    least, n = 0.4 * size, len(known)
+    if n < least and n < min(smallest[t] for t in hits):
+        return
+    sets, index = _sets(), _telling()
+    for k in {k for t in hits for k in index[t]}:
+        shared = len(known & sets[k])
         if shared >= least or shared >= len(sets[k]):
-            out.add(k)
-    return out
+            yield k
+
+
+def _worth(words: list[str], bag: set[str], known: set[str]) -> bool:
+    """Whether a line or one of its windows retrieves an exemplar."""
+    telling = _retrieving()[1]
+    if known.isdisjoint(telling):
+        return False
+    if any(True for _ in _shared(known, len(bag))):
+        return True
+    if len(words) > WINDOW:
+        for window in _windows(words):
+            near = known.intersection(window)
+            if not near.isdisjoint(telling) and any(True for _ in _shared(near, len(set(window)))):
+                return True
+    return False
 
 
 def _windows(words: list[str]) -> Iterator[list[str]]:
@@ -498,7 +539,7 @@ def passages(html: str) -> list[tuple[str, str]]:
 
 def _promising(html: str) -> tuple[list[tuple[str, str]], set[str]]:
     """The passages of a page, empty if none retrieves an exemplar, and the exemplar tokens in them."""
-    vocabulary, telling = _index()[1].keys(), _telling().keys()
+    vocabulary = _retrieving()[0]
     found, seen, hit = passages(html), set(), False
     for place, text in found:
         words = tokens(text)
@@ -506,8 +547,7 @@ def _promising(html: str) -> tuple[list[tuple[str, str]], set[str]]:
         known = bag & vocabulary
         seen |= known
         if not hit and place != "quoted" and known:
-            hit = bool(_retrieved(bag)) or place == "body" and _in_pool(bag) or len(words) > WINDOW and any(_retrieved(set(w)) for w in _windows(words))
-            hit = hit or not _UNSET.isdisjoint(bag)
+            hit = not _UNSET.isdisjoint(known) or _worth(words, bag, known) or place == "body" and _in_pool(bag)
     return (found if hit else []), seen
 
 
@@ -561,11 +601,13 @@ class Scorer:
     def placeholder(self, words: list[str]) -> bool:
         """Whether a stretch of the size of some placeholder exemplar holds all of it and is not talked about."""
         exemplars, _ = _index()
-        telling, bag = _telling(), Counter(words)
-        for k in {k for t in bag if t in telling for k in telling[t]}:
-            label, exemplar = exemplars[k]
-            if label != "placeholder":
-                continue
+        slots = _placeholders()
+        hits = slots.keys() & words
+        if not hits:
+            return False
+        bag = Counter(words)
+        for k in {k for t in hits for k in slots[t]}:
+            exemplar = exemplars[k][1]
             own = 0.99 * sum(self.weights[t] * n for t, n in exemplar.items())
             held = lambda b: sum(self.weights[t] * min(n, b[t]) for t, n in exemplar.items())  # noqa: B023, E731
             size = exemplar.total()
@@ -600,7 +642,7 @@ class Scorer:
 
     def verdict(self, places: list[str], texts: list[str]) -> tuple[str, float] | None:
         """(kind, coverage) of a page that is residue, else None."""
-        covered = total = 0.0
+        total, lines = 0.0, []
         for place, text in zip(places, texts):
             words = tokens(text)
             if not words:
@@ -616,12 +658,28 @@ class Scorer:
             if place != "title":
                 weight = self.weight(words)
                 total += weight
-                if place != "quoted" and self.message(text) >= CONTAINED:
-                    covered += weight
+                lines.append((weight, "" if place == "quoted" else text))
+        covered = self.covered(lines, total)
         if total and covered / total >= COVERED:
             return "message", covered / total
         return None
 
+    def covered(self, lines: list[tuple[float, str]], total: float) -> float:
+        """The weight of the lines that are messages; 0 once the heaviest of the others leave too little for a body of messages."""
+        spare, messages = (1 - COVERED + 1e-6) * total, set()
+        for k in sorted(range(len(lines)), key=lambda k: -lines[k][0]):
+            weight, text = lines[k]
+            if text and self.message(text) >= CONTAINED:
+                messages.add(k)
+            else:
+                spare -= weight
+                if spare < 0:
+                    return 0.0
+        covered = 0.0
+        for k in sorted(messages):
+            covered += lines[k][0]
+        return covered
+
     def message(self, text: str) -> float:
         """Containment of a line in messages: of the line as a whole or of its sentences."""
         whole = self.contained(tokens(text))

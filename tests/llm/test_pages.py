@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from siteloom.llm import encoding as E
 from siteloom.llm import main_content as M
 from siteloom.llm import residue as R
 
@@ -138,3 +139,34 @@ def test_recall_on_held_out_wordings():
     exemplars = set(R.EXEMPLARS["message"].split("\n"))
     assert not any(t.lower().strip(".") in exemplars for t in texts)
     assert sum(bool(scorer.verdict(["body"], [t])) for t in texts) >= 0.75 * len(texts)
+
+
+BROKEN = ["<", "</", ">", "<!--", "-->", "<!", "<![CDATA[", "<?", "&amp;", "&", "'", '"', "<br/>", "<p/>", "<script>", "</script >", "<style>", "</style>", "<title>", "</title>", "<svg/>", "<a <b>", "</ p>", "</p x>", "<A HREF='x>", "<1>", "<body>", "<x-y>", "<pre>", "<head>", "<textarea>", "<p>", "<div>", "</div>", "\n", "word", "é"]
+
+
+def test_pieces_as_the_library_reads_them(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(BROKEN, rng.integers(1, 20))) for _ in range(3000)] + [f"<body>{NAV}<div><h1>A &amp; B</h1><p>{PROSE}</div><!-- x --><script>a<b</script>{FOOT}</body>"]
+    got = [M.page_lines(t) for t in texts]
+    monkeypatch.setattr(M._Lines, "goahead", M.HTMLParser.goahead)
+    assert got == [M.page_lines(t) for t in texts]
+
+
+def test_work_for_a_page_of_prose(monkeypatch):
+    """Well-formed tags do not reach the library, and lines of prose are not weighed against messages once they settle the page."""
+    calls = []
+    monkeypatch.setattr(M.HTMLParser, "parse_endtag", lambda *_: calls.append("tag"))
+    html = f"<body>{NAV}<div><p>Page not found</p>" + f"<p>{PROSE}</p>" * 20 + f"</div>{FOOT}</body>"
+    places, texts = zip(*R.passages(html))
+    scorer, message = R.Scorer({}), R.Scorer.message
+    monkeypatch.setattr(R.Scorer, "message", lambda self, text: calls.append(text) or message(self, text))
+    assert len(texts) == 21 and scorer.verdict(places, texts) is None
+    assert "tag" not in calls and len(calls) <= 7
+
+
+def test_screen_and_tokens_in_plain_text():
+    screened = lambda text: bool(E._SCREEN.search(text))
+    assert all(map(screened, ["cafÃ©", "aÖ", "aя", "яa", " Èa", "î,", "漢a", "a漢", "é’x", "жÀ", "ÀÀÀ", "яЯ", "¤"]))
+    assert not any(map(screened, ["", "plain", "© 2020 Us", "café – 5 €", "L’été", "Ölfarbe", "«да»", "漢字。", "ça va"]))
+    assert R.tokens("It's 2 x_Y o''clock") == ["it's", "x", "y", "o", "clock"] and R.tokens("A\x01b\x02 c") == ["a", "\x01b\x02", "c"]
+    assert R.tokens("Dear {{ name }}, see a/b/c") == ["dear", "\x01curly\x02", "see"]
